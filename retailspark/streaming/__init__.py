@@ -1,0 +1 @@
+"""Empty on purpose: every analysis in this library is a batch job over closed date windows."""
