@@ -636,6 +636,7 @@ ORACLE["frequent_itemsets"] = with_ctes(
 ORACLE["association_rules"] = with_ctes(
     *RULES_ALL, select=f"SELECT {RULE_COLUMNS}, CAST(n AS BIGINT) AS count FROM ru"
 )
+ORACLE["association_rules_of_sets"] = ORACLE["association_rules"]
 
 
 def pair_sql(lines, support, confidence):

@@ -532,14 +532,12 @@ def hashed_split(spark, folder):
 
 
 def encoded_split(spark, folder):
-    encoder, rows = ch.encode(churn_rows(spark, folder))
-    marked = split_of(rows)
-    return encoder, marked.filter("is_train"), marked.filter("not is_train")
+    return ch.training_tables(churn_rows(spark, folder), P.SPLIT, P.SEED)
 
 
 @query
 def encoded_categories(spark, folder):
-    encoder, rows = ch.encode(churn_rows(spark, folder))
+    encoder, rows = ch.encode(materialise(churn_rows(spark, folder)))
     terms = ch.term_names(encoder)
     values = ch.vector_to_array("features")
     pairs = F.arrays_zip(F.array(*[F.lit(t) for t in terms]).alias("term"), values.alias("value"))
@@ -674,8 +672,12 @@ def item_frequency(spark, folder):
     return bk.item_frequency(bk.baskets(star.tickets(spark, folder, article="p_brand")), 10)
 
 
+def lines_of(spark, folder, article="l_partkey"):
+    return bk.basket_lines(star.tickets(spark, folder, article=article))
+
+
 def type_rules(spark, folder):
-    return materialise(rl.rules(type_baskets(spark, folder), P.TYPE_SUPPORT, P.TYPE_CONFIDENCE))
+    return materialise(rl.rules_of_lines(lines_of(spark, folder, "p_type"), bk.KEYS, P.TYPE_SUPPORT, P.TYPE_CONFIDENCE))
 
 
 def rule_columns(df, *more):
@@ -692,24 +694,31 @@ def frequent_itemsets(spark, folder):
 
 @query
 def association_rules(spark, folder):
+    found = rl.rules_of_lines(lines_of(spark, folder, "p_type"), bk.KEYS, P.TYPE_SUPPORT, P.TYPE_CONFIDENCE)
+    return rule_columns(found, "count")
+
+
+@query
+def association_rules_of_sets(spark, folder):
     return rule_columns(rl.rules(type_baskets(spark, folder), P.TYPE_SUPPORT, P.TYPE_CONFIDENCE), "count")
 
 
 @query
 def association_rules_two_items(spark, folder):
-    brands = bk.baskets(star.tickets(spark, folder, article="p_brand"))
-    return rule_columns(rl.rules(brands, P.BRAND_SUPPORT, P.BRAND_CONFIDENCE, max_len=2), "count")
+    lines = lines_of(spark, folder, "p_brand")
+    found = rl.rules_of_lines(lines, bk.KEYS, P.BRAND_SUPPORT, P.BRAND_CONFIDENCE, max_len=2)
+    return rule_columns(found, "count")
 
 
 @query
 def pair_rules(spark, folder):
-    lines = bk.basket_lines(star.tickets(spark, folder, article="p_brand"))
+    lines = lines_of(spark, folder, "p_brand")
     return rule_columns(rl.pair_rules(lines, bk.KEYS, P.BRAND_SUPPORT, P.BRAND_CONFIDENCE), "count")
 
 
 @query
 def pair_rules_by_article(spark, folder):
-    lines = bk.basket_lines(star.tickets(spark, folder))
+    lines = lines_of(spark, folder)
     return rule_columns(rl.pair_rules(lines, bk.KEYS, P.ARTICLE_SUPPORT, P.ARTICLE_CONFIDENCE), "count")
 
 

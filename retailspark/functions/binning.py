@@ -1,22 +1,18 @@
 """Binning of a numeric column by ordered breaks."""
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 
 def _tally(breaks, test):
-    return reduce(lambda a, b: a + b, [F.when(test(b), 1).otherwise(0) for b in breaks])
+    return F.size(F.filter(breaks, test))
 
 
-def cut_expr(
-    value, breaks, labels, right=True, include_lowest=True, on_degenerate="raise"
-):
+def cut_expr(value, breaks, labels, right=True, include_lowest=True, on_degenerate="raise"):
     """Label of the bin that holds ``value``.
 
-    ``breaks`` is a list of k+1 numbers or an array column of that length; ``labels`` has k entries. Bins are closed on the right, or on the left
-    with ``right=False``; ``include_lowest`` also closes the outermost edge on the open side. Values
-    outside the breaks get null.
+    ``breaks`` is a list of k+1 numbers or an array column of that length; ``labels`` has k entries.
+    Bins are closed on the right, or on the left with ``right=False``; ``include_lowest`` also closes
+    the outermost edge on the open side. Values outside the breaks get null.
 
     Equal breaks: ``raise`` stops the job, ``collapse`` merges them and a value on the merged edge
     gets the highest label that touches it.
@@ -25,17 +21,16 @@ def cut_expr(
         raise ValueError(f"on_degenerate must be 'raise' or 'collapse', not {on_degenerate!r}")
     k = len(labels)
     x = value.cast("double")
-    if isinstance(breaks, Column):
-        edges = [F.get(breaks, F.lit(i)).cast("double") for i in range(k + 1)]
-        repeated = reduce(lambda a, b: a | b, [edges[i] >= edges[i + 1] for i in range(k)])
-    else:
+    known = not isinstance(breaks, Column)
+    if known:
         if len(breaks) != k + 1:
             raise ValueError(f"{k} labels need {k + 1} breaks, got {len(breaks)}")
         if on_degenerate == "raise" and any(a >= b for a, b in zip(breaks, breaks[1:])):
             raise ValueError(f"breaks are not strictly increasing: {list(breaks)}")
-        edges = [F.lit(float(b)) for b in breaks]
-        repeated = None
-    low, high = edges[0], edges[-1]
+        edges = F.array(*[F.lit(float(b)) for b in breaks])
+    else:
+        edges = breaks
+    low, high = F.get(edges, F.lit(0)), F.get(edges, F.lit(k))
     if right:
         # breaks below x, or for the lowest value the whole run of breaks equal to it
         place = F.greatest(_tally(edges, lambda b: b < x), _tally(edges, lambda b: b <= low))
@@ -45,7 +40,8 @@ def cut_expr(
         inside = (x >= low) & ((x <= high) if include_lowest else (x < high))
     names = F.array(*[F.lit(name) for name in labels])
     label = F.when(inside, F.element_at(names, F.least(place, F.lit(k))))
-    if on_degenerate == "raise" and repeated is not None:
+    if on_degenerate == "raise" and not known:
+        repeated = F.size(F.array_distinct(edges)) < k + 1
         label = F.when(repeated, F.raise_error(F.lit("breaks are not strictly increasing"))).otherwise(label)
     return label
 

@@ -62,26 +62,52 @@ def basket_summary(b, k=5):
     return head.union(dist).union(spread).union(frequent)
 
 
+def reaches(count, min_support, total):
+    """Condition: ``count`` baskets are at least the share ``min_support`` of ``total``, in exact decimals."""
+    return count >= F.lit(str(min_support)).cast("decimal(18,12)") * total
+
+
+def frequent_items(lines, keys=KEYS, min_support=0.001):
+    """Frequent items (item, n) of distinct (basket key, item) rows, and the basket count as a column."""
+    total = lines.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
+    counts = lines.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(reaches(F.col("n"), min_support, total)), total
+
+
+def frequent_baskets(lines, items, keys=KEYS):
+    """Baskets reduced to their frequent items, sorted; baskets without any are left out.
+
+    The arrays are short whatever a basket holds: there are at most mean basket size / min_support
+    frequent items.
+    """
+    kept = lines.join(items.select("item"), "item", "left_semi")
+    return kept.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
+
+
 def min_count(total, min_support):
     """Smallest basket count that reaches the support share."""
     return int((Decimal(str(min_support)) * total).to_integral_value(rounding=ROUND_CEILING))
 
 
-def itemsets(b, min_support=0.001, max_len=None, num_partitions=None):
-    """Frequent item sets (items, freq) and the number of baskets.
+def itemsets(b, min_support=0.001, max_len=None, num_partitions=None, total=None):
+    """Frequent item sets (items, freq) of a written basket table, and the number of baskets.
 
-    The sets are written once, because the rules read them three times and mining is the dear part.
-    The driver holds the frequent items only: at most mean basket size / min_support of them.
+    ``total`` is the number of all baskets when ``b`` leaves out those without frequent items. The sets
+    are written once, because the rules read them three times and mining is the dear part. The driver
+    holds the frequent items only: at most mean basket size / min_support of them.
     """
-    total = b.count()
-    if total == 0:
-        return b.select("items", F.lit(0).cast("bigint").alias("freq")).limit(0), 0
-    # half a basket below the wanted count: the library rounds share * total up again
-    share = max(0.0, (min_count(total, min_support) - 0.5) / total)
+    rows = b.count()
+    total = rows if total is None else total
+    if rows == 0:
+        return b.select("items", F.lit(0).cast("bigint").alias("freq")).limit(0), total
+    # half a basket below the wanted count: the miner rounds share * rows up again
+    share = (max(1, min_count(total, min_support)) - 0.5) / rows
+    if share > 1:
+        return b.select("items", F.lit(0).cast("bigint").alias("freq")).limit(0), total
     miner = FPGrowth(itemsCol="items", minSupport=share)
     if num_partitions:
         miner.setNumPartitions(num_partitions)
     sets = miner.fit(b.select("items")).freqItemsets
     if max_len is not None:
         sets = sets.filter(F.size("items") <= max_len)
-    return materialise(sets.select(F.sort_array("items").alias("items"), "freq")), total
+    return materialise(sets.select(F.sort_array("items").alias("items"), "freq"), "itemsets"), total

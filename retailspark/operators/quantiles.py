@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Window, functions as F
 
 ACCURACY = 10_000  # rank error of the sketch is at most n / ACCURACY
-MARGIN = 5.0 / ACCURACY
+MARGIN = 3.0  # half width of a bracket in rank errors; 2 would do by the sketch's guarantee
 
 
 def _long(df, columns):
@@ -48,7 +48,7 @@ def _exact(rows, probs, accuracy):
     inner = sorted({p for ps in probs.values() for p in ps if 0 < p < 1})
     wanted = sorted({float(p) for ps in probs.values() for p in ps})
     if inner:
-        margin = 5.0 / accuracy
+        margin = MARGIN / accuracy
         lows = [max(0.0, p - margin) for p in inner]
         highs = [min(1.0, p + margin) for p in inner]
         sketch = rows.groupBy("measure").agg(
@@ -56,16 +56,21 @@ def _exact(rows, probs, accuracy):
         )
         # one entry per measure, so the map is as small as the list of columns
         brackets = sketch.agg(F.map_from_entries(F.collect_list(F.struct("measure", "q")))).scalar()
-        spots = rows.withColumn("_q", F.element_at(brackets, F.col("measure")))
-        v, m = F.col("value"), len(inner)
-        lo = [F.get(F.col("_q"), F.lit(i)) for i in range(m)]
-        hi = [F.get(F.col("_q"), F.lit(m + i)) for i in range(m)]
-        inside = reduce(lambda a, b: a | b, [(v >= a) & (v <= b) for a, b in zip(lo, hi)])
-        gap = reduce(
-            lambda a, b: a + b,
-            [F.when(v >= a, 1).otherwise(0) + F.when(v > b, 1).otherwise(0) for a, b in zip(lo, hi)],
+        m, v = len(inner), F.col("value")
+        q = rows.withColumn("_q", F.element_at(brackets, F.col("measure")))
+        marked = q.select(
+            "measure",
+            "value",
+            F.size(F.filter(F.slice("_q", 1, m), lambda lo: lo <= v)).alias("opened"),
+            F.size(F.filter(F.slice("_q", m + 1, m), lambda hi: hi < v)).alias("closed"),
+        )
+        # a value with more brackets opened than closed lies inside one and is kept
+        spots = marked.select(
+            "measure",
+            "value",
+            (F.col("opened") + F.col("closed")).alias("gap"),
+            F.when(F.col("opened") > F.col("closed"), v).alias("kept"),
         )
-        spots = spots.select("measure", "value", gap.alias("gap"), F.when(inside, v).alias("kept"))
     else:
         spots = rows.select("measure", "value", F.lit(0).alias("gap"), F.lit(None).cast("double").alias("kept"))
     runs = spots.groupBy("measure", "gap", "kept").agg(

@@ -2,8 +2,9 @@
 
 from pyspark.sql import Window, functions as F
 
+from ..session import materialise
 from .aggregates import top
-from .baskets import KEYS, itemsets
+from .baskets import KEYS, frequent_baskets, frequent_items, itemsets, reaches
 from .quantiles import PROFILE, quantile_table
 
 TIES = ("antecedent", "consequent")
@@ -40,11 +41,28 @@ def rules_from_itemsets(sets, total, min_confidence=0.8):
 
 
 def rules(b, min_support=0.001, min_confidence=0.8, max_len=None, num_partitions=None):
-    """Association rules of the baskets; ``max_len`` limits antecedent plus consequent."""
-    sets, total = itemsets(b, min_support, max_len, num_partitions)
+    """Association rules of baskets (items); ``max_len`` limits antecedent plus consequent."""
+    sets, total = itemsets(materialise(b.select("items"), "baskets"), min_support, max_len, num_partitions)
     return rules_from_itemsets(sets, max(total, 1), min_confidence)
 
 
+def rules_of_lines(
+    lines, keys=KEYS, min_support=0.001, min_confidence=0.8, max_len=None, num_partitions=None
+):
+    """Association rules of distinct (basket key, item) rows.
+
+    Infrequent items go before baskets are formed, so only short baskets are written and mined. The count
+    of all baskets travels with them, which keeps the tickets at one scan.
+    """
+    items, total = frequent_items(lines, keys, min_support)
+    reduced = frequent_baskets(lines, items, keys).select("items", total.alias("total"))
+    table = materialise(reduced, "baskets")
+    first = table.select("total").first()
+    count = first["total"] if first else 0
+    sets, count = itemsets(table, min_support, max_len, num_partitions, count)
+    return rules_from_itemsets(sets, max(count, 1), min_confidence)
+
+
 def pair_counts(lines, keys=KEYS, min_support=0.001, block=BLOCK):
     """Frequent pairs (a, b, n) with a < b, item counts (item, n) and the basket count as a column.
 
@@ -52,11 +70,8 @@ def pair_counts(lines, keys=KEYS, min_support=0.001, block=BLOCK):
     ``block`` items, and pairs are formed per pair of blocks: equal pieces of different baskets are
     counted once with a weight, and the pieces of one huge basket are spread by the same shuffle.
     """
-    total = lines.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
-    enough = F.col("n") >= F.lit(str(min_support)).cast("decimal(18,12)") * total
-    items = lines.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(enough)
-    kept = lines.join(items.select("item"), "item", "left_semi")
-    grouped = kept.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    items, total = frequent_items(lines, keys, min_support)
+    grouped = frequent_baskets(lines, items, keys)
     sized = grouped.filter(F.size("items") > 1).withColumn(
         "blocks", F.ceil(F.size("items") / F.lit(block)).cast("int")
     )
@@ -76,7 +91,7 @@ def pair_counts(lines, keys=KEYS, min_support=0.001, block=BLOCK):
         .filter(F.col("a") < F.col("b"))
         .groupBy("a", "b")
         .agg(F.sum("w").alias("n"))
-        .filter(enough)
+        .filter(reaches(F.col("n"), min_support, total))
     )
     return pairs, items, total
 

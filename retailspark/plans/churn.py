@@ -14,6 +14,7 @@ from ..functions.arithmetic import sum_or_null
 from ..functions.dates import as_day, days_between
 from ..operators.filters import complete_cases, in_window, purchases_only, window_condition
 from ..operators.joins import enrich, enrich_via, flag_members
+from ..operators.split import assign_split
 from ..session import materialise
 
 NUMERIC = (C.RECENCY, C.SPEND, C.PURCHASES)
@@ -73,7 +74,7 @@ def encode(df, numeric=NUMERIC, categorical=CATEGORICAL, label=C.CHURN):
     """Model input: level indices, indicator columns with the alphabetically first level as base, and the
     vectors ``features`` (for linear models) and ``tree_features``. Fit on all rows, before the split.
 
-    Returns the fitted stages and the encoded table, written once because every training pass reads it.
+    Returns the fitted stages and the encoded rows. ``df`` is read twice: materialise it first.
     """
     index = [f"{c}_index" for c in categorical]
     dummies = [f"{c}_dummies" for c in categorical]
@@ -93,7 +94,19 @@ def encode(df, numeric=NUMERIC, categorical=CATEGORICAL, label=C.CHURN):
         VectorAssembler(inputCols=[*values, *index], outputCol="tree_features"),
     ]
     fitted = Pipeline(stages=stages).fit(plain)
-    return fitted, materialise(fitted.transform(plain))
+    return fitted, fitted.transform(plain)
+
+
+def training_tables(df, p=0.7, seed=123456, exact=True, label=C.CHURN, key=C.CUSTOMER):
+    """Encoder, training rows and test rows of a churn data set.
+
+    Two small tables are written: the customers, so that the tickets are scanned once, and the encoded
+    customers with their split mark, because every training pass reads them.
+    """
+    rows = materialise(df, "customers")
+    encoder, encoded = encode(rows, label=label)
+    marked = materialise(assign_split(encoded, label, key, p, seed, exact), "encoded")
+    return encoder, marked.filter("is_train"), marked.filter("not is_train")
 
 
 def term_names(encoder, numeric=NUMERIC, categorical=CATEGORICAL):

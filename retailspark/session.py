@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 # Settings the jobs rely on. Cluster sizes, memory and shuffle partitions belong to the submitter.
 DEFAULTS = {
+    # no Python call sites on every column expression: building a plan gets several times faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -49,14 +51,13 @@ def scratch_path(spark, name):
     return os.path.join(shared_dir(spark), "retailspark", f"{name}-{uuid.uuid4().hex}")
 
 
-def materialise(df):
-    """Write ``df`` once to the checkpoint folder and go on from the files.
+def materialise(df, name="table"):
+    """Write ``df`` once as a Parquet table in the shared folder and go on from the files.
 
     For tables read by several later jobs: the lineage ends at reliable storage, so a lost executor
-    costs a file read instead of the whole history.
+    costs a file read instead of the whole history, later readers take only the columns they need, and
+    the planner knows the table's size. The files are the caller's to remove with the folder.
     """
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
