@@ -317,7 +317,7 @@ ORACLE["joined_articles"] = with_ctes(
     TICKETS,
     select="""
 SELECT c AS "ID_CLI", CAST(d AS VARCHAR) AS day,
-  string_agg(CAST(art AS VARCHAR), ',' ORDER BY CAST(art AS VARCHAR)) AS items
+  string_agg(DISTINCT CAST(art AS VARCHAR), ',' ORDER BY CAST(art AS VARCHAR)) AS items
 FROM t GROUP BY c, d""",
 )
 ORACLE["cut_right_closed"] = """

@@ -372,10 +372,11 @@ def day_differences(spark, folder):
 
 @query
 def joined_articles(spark, folder):
-    lines = star.tickets(spark, folder).groupBy(C.CUSTOMER, C.MOMENT)
-    members = F.collect_list(F.col(C.ARTICLE).cast("string"))
-    return lines.agg(join_members(members).alias("items")).select(
-        C.CUSTOMER, F.col(C.MOMENT).cast("date").cast("string").alias("day"), "items"
+    baskets = bk.baskets(star.tickets(spark, folder))
+    return baskets.select(
+        C.CUSTOMER,
+        F.col(C.MOMENT).cast("date").cast("string").alias("day"),
+        join_members(F.col("items")).alias("items"),
     )
 
 

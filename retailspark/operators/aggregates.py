@@ -26,7 +26,7 @@ def recency(df, as_of, customer=C.CUSTOMER, day=C.DAY, last=C.LAST_PURCHASE, out
     )
 
 
-def frequency(df, customer=C.CUSTOMER, ticket=C.TICKET, out=C.VISITS, method="exact", rsd=0.01):
+def frequency(df, customer=C.CUSTOMER, ticket=C.TICKET, out=C.VISITS, method="exact", rsd=0.05):
     """Number of distinct purchase tickets per customer."""
     if method == "exact":
         count = F.count_distinct(F.col(ticket))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import columns as C
 from ..session import materialise
 from .aggregates import top
+from .joins import small_side
 from .quantiles import PROFILE, quantile_table
 
 KEYS = (C.CUSTOMER, C.MOMENT)
@@ -62,26 +63,27 @@ def basket_summary(b, k=5):
     return head.union(dist).union(spread).union(frequent)
 
 
-def reaches(count, min_support, total):
-    """Condition: ``count`` baskets are at least the share ``min_support`` of ``total``, in exact decimals."""
-    return count >= F.lit(str(min_support)).cast("decimal(18,12)") * total
-
-
 def frequent_items(lines, keys=KEYS, min_support=0.001):
-    """Frequent items (item, n) of distinct (basket key, item) rows, and the basket count as a column."""
-    total = lines.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
+    """Frequent items (item, n) of distinct (basket key, item) rows, and the number of baskets."""
+    total = lines.select(*keys).distinct().count()
     counts = lines.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(reaches(F.col("n"), min_support, total)), total
+    return counts.filter(F.col("n") >= max(1, min_count(total, min_support))), total
 
 
-def frequent_baskets(lines, items, keys=KEYS):
-    """Baskets reduced to their frequent items, sorted; baskets without any are left out.
+def frequent_baskets(lines, keys=KEYS, min_support=0.001):
+    """Baskets (items) reduced to their frequent items, sorted, without those that have none; the
+    frequent items (item, n); and the number of all baskets.
 
-    The arrays are short whatever a basket holds: there are at most mean basket size / min_support
-    frequent items.
+    The distinct lines are written once, so tickets are read and shuffled a single time, and each later
+    pass reads the columns it needs. Infrequent items go before baskets are formed, by a broadcast join
+    when the frequent items are counted to be few. The arrays are short whatever a basket holds: there
+    are at most mean basket size / min_support frequent items.
     """
-    kept = lines.join(items.select("item"), "item", "left_semi")
-    return kept.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    written = materialise(lines, "lines")
+    counts, total = frequent_items(written, keys, min_support)
+    items = materialise(counts, "items")
+    kept = written.join(small_side(items.select("item")), "item", "left_semi")
+    return kept.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items")), items, total
 
 
 def min_count(total, min_support):

@@ -1,7 +1,10 @@
 """Equi-joins of tickets, customer tables and dimensions.
 
-No join carries a broadcast hint: Spark broadcasts a side when its measured size allows, and
-otherwise joins by shuffle, where adaptive execution splits the partitions of hot keys.
+Joins carry no broadcast hint unless a count has proved the side small: Spark broadcasts a side when
+its measured size allows, and otherwise joins by shuffle, where adaptive execution splits the
+partitions of hot keys. It can do so only where the join shuffles both sides itself. A side grouped
+by the join key would come without a shuffle of its own, so such sides take the key from an aggregate
+instead of the grouping column.
 """
 
 from functools import reduce
@@ -11,9 +14,14 @@ from pyspark.sql import functions as F
 from .. import columns as C
 
 
+def key_set(keys, on):
+    """Distinct keys, as a side that the join shuffles itself."""
+    return keys.groupBy(F.col(on).alias("_group")).agg(F.max(on).alias(on)).drop("_group")
+
+
 def restrict_to(df, keys, on=C.CUSTOMER):
     """Rows of ``df`` whose key occurs in ``keys``."""
-    return df.join(keys.select(on), on, "left_semi")
+    return df.join(key_set(keys, on), on, "left_semi")
 
 
 def assemble(on, *dfs):
@@ -23,16 +31,16 @@ def assemble(on, *dfs):
 
 def flag_members(df, keys, on=C.CUSTOMER, name=C.CHURN, present=0, absent=1):
     """``name`` is ``present`` where the key occurs in ``keys`` and ``absent`` elsewhere."""
-    seen = keys.select(on).distinct().withColumn("_member", F.lit(True))
+    seen = key_set(keys, on).withColumn("_member", F.lit(True))
     flag = F.when(F.col("_member"), F.lit(present)).otherwise(F.lit(absent))
     return df.join(seen, on, "left").withColumn(name, flag).drop("_member")
 
 
 def unique_by(dim, on, cols):
     """One row per key: the one with the smallest ``cols``, nulls last, as one value tuple."""
-    rank = F.struct(*[x for c in cols for x in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c).alias(c))])
-    best = dim.groupBy(on).agg(F.min(rank).alias("_best"))
-    return best.select(on, *[F.col(f"_best.{c}").alias(c) for c in cols])
+    ranked = [x for c in cols for x in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c).alias(c))]
+    best = dim.groupBy(F.col(on).alias("_group")).agg(F.min(F.struct(*ranked, F.col(on).alias("_key"))).alias("_best"))
+    return best.select(F.col("_best._key").alias(on), *[F.col(f"_best.{c}").alias(c) for c in cols])
 
 
 def enrich(df, dim, on, cols, unique=True):

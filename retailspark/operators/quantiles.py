@@ -44,6 +44,19 @@ def _wanted(probs):
     return reduce(lambda a, b: a | b, tests)
 
 
+def _passed(op, offset, n):
+    """How many of the n ascending entries of ``_q`` from ``offset`` on the value has passed: nested
+    comparisons, so that each row makes log2(n) of them."""
+
+    def search(low, high):
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        return f"IF(value {op} _q[{offset + mid}], {search(mid + 1, high)}, {search(low, mid)})"
+
+    return F.expr(search(0, n))
+
+
 def _exact(rows, probs, accuracy):
     inner = sorted({p for ps in probs.values() for p in ps if 0 < p < 1})
     wanted = sorted({float(p) for ps in probs.values() for p in ps})
@@ -56,20 +69,15 @@ def _exact(rows, probs, accuracy):
         )
         # one entry per measure, so the map is as small as the list of columns
         brackets = sketch.agg(F.map_from_entries(F.collect_list(F.struct("measure", "q")))).scalar()
-        m, v = len(inner), F.col("value")
+        m = len(inner)
         q = rows.withColumn("_q", F.element_at(brackets, F.col("measure")))
-        marked = q.select(
-            "measure",
-            "value",
-            F.size(F.filter(F.slice("_q", 1, m), lambda lo: lo <= v)).alias("opened"),
-            F.size(F.filter(F.slice("_q", m + 1, m), lambda hi: hi < v)).alias("closed"),
-        )
+        marked = q.select("measure", "value", _passed(">=", 0, m).alias("opened"), _passed(">", m, m).alias("closed"))
         # a value with more brackets opened than closed lies inside one and is kept
         spots = marked.select(
             "measure",
             "value",
             (F.col("opened") + F.col("closed")).alias("gap"),
-            F.when(F.col("opened") > F.col("closed"), v).alias("kept"),
+            F.when(F.col("opened") > F.col("closed"), F.col("value")).alias("kept"),
         )
     else:
         spots = rows.select("measure", "value", F.lit(0).alias("gap"), F.lit(None).cast("double").alias("kept"))

@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from ..session import materialise
 from .aggregates import top
-from .baskets import KEYS, frequent_baskets, frequent_items, itemsets, reaches
+from .baskets import KEYS, frequent_baskets, itemsets, min_count
 from .quantiles import PROFILE, quantile_table
 
 TIES = ("antecedent", "consequent")
@@ -49,29 +49,21 @@ def rules(b, min_support=0.001, min_confidence=0.8, max_len=None, num_partitions
 def rules_of_lines(
     lines, keys=KEYS, min_support=0.001, min_confidence=0.8, max_len=None, num_partitions=None
 ):
-    """Association rules of distinct (basket key, item) rows.
-
-    Infrequent items go before baskets are formed, so only short baskets are written and mined. The count
-    of all baskets travels with them, which keeps the tickets at one scan.
-    """
-    items, total = frequent_items(lines, keys, min_support)
-    reduced = frequent_baskets(lines, items, keys).select("items", total.alias("total"))
-    table = materialise(reduced, "baskets")
-    first = table.select("total").first()
-    count = first["total"] if first else 0
-    sets, count = itemsets(table, min_support, max_len, num_partitions, count)
-    return rules_from_itemsets(sets, max(count, 1), min_confidence)
+    """Association rules of distinct (basket key, item) rows; only short baskets are written and mined."""
+    reduced, _, total = frequent_baskets(lines, keys, min_support)
+    table = materialise(reduced.select("items"), "baskets")
+    sets, total = itemsets(table, min_support, max_len, num_partitions, total)
+    return rules_from_itemsets(sets, max(total, 1), min_confidence)
 
 
 def pair_counts(lines, keys=KEYS, min_support=0.001, block=BLOCK):
-    """Frequent pairs (a, b, n) with a < b, item counts (item, n) and the basket count as a column.
+    """Frequent pairs (a, b, n) with a < b, frequent items (item, n) and the number of baskets.
 
-    Items below the support go before pairs are formed. What is left of a basket is cut into blocks of
-    ``block`` items, and pairs are formed per pair of blocks: equal pieces of different baskets are
-    counted once with a weight, and the pieces of one huge basket are spread by the same shuffle.
+    What is left of a basket without its infrequent items is cut into blocks of ``block`` items, and
+    pairs are formed per pair of blocks: equal pieces of different baskets are counted once with a
+    weight, and the pieces of one huge basket are spread by the same shuffle.
     """
-    items, total = frequent_items(lines, keys, min_support)
-    grouped = frequent_baskets(lines, items, keys)
+    grouped, items, total = frequent_baskets(lines, keys, min_support)
     sized = grouped.filter(F.size("items") > 1).withColumn(
         "blocks", F.ceil(F.size("items") / F.lit(block)).cast("int")
     )
@@ -91,7 +83,7 @@ def pair_counts(lines, keys=KEYS, min_support=0.001, block=BLOCK):
         .filter(F.col("a") < F.col("b"))
         .groupBy("a", "b")
         .agg(F.sum("w").alias("n"))
-        .filter(reaches(F.col("n"), min_support, total))
+        .filter(F.col("n") >= max(1, min_count(total, min_support)))
     )
     return pairs, items, total
 
@@ -106,7 +98,7 @@ def pair_rules(lines, keys=KEYS, min_support=0.001, min_confidence=0.8, block=BL
     )
     named = counted.select("n", "n_a", "n_c", F.array("x").alias("antecedent"), F.array("y").alias("consequent"))
     sure = named.filter(F.col("n").cast("double") / F.col("n_a") >= min_confidence)
-    return _measured(sure.withColumn("total", total.cast("double")), F.col("total"))
+    return _measured(sure, F.lit(float(max(total, 1))))
 
 
 def sort_rules(r, by="support"):

@@ -63,10 +63,11 @@ def churn_dataset(
     """Labelled customers with job, card and region; rows with a missing value are dropped."""
     base = labelled_features(tickets, ref, lookback_start, holdout_end, when, null_policy)
     jobs = accounts.withColumn(C.JOB_CLEAN, F.col(C.JOB))
-    placed = enrich_via(base, jobs, addresses, cols=(C.REGION,), bridge_cols=(C.JOB_CLEAN,))
-    carded = enrich(placed, loyalty, C.CUSTOMER, [C.CARD])
+    # joins on the customer first: they share one partitioning, only the address needs another
+    carded = enrich(base, loyalty, C.CUSTOMER, [C.CARD])
+    placed = enrich_via(carded, jobs, addresses, cols=(C.REGION,), bridge_cols=(C.JOB_CLEAN,))
     return complete_cases(
-        carded.select(C.CUSTOMER, *NUMERIC, C.CHURN, C.JOB_CLEAN, C.CARD, C.REGION)
+        placed.select(C.CUSTOMER, *NUMERIC, C.CHURN, C.JOB_CLEAN, C.CARD, C.REGION)
     )
 
 

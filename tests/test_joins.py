@@ -42,3 +42,41 @@ def test_small_side_is_broadcast_only_when_counted_small(spark):
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return plan(df)
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+def test_hot_keys_are_split(spark):
+    """A third of the rows on one key: every join splits that key's partition over several tasks."""
+    hot = "CASE WHEN id % 3 = 0 THEN 7 ELSE id END"
+    left = spark.range(0, 60_000, 1, 8).selectExpr(f"{hot} AS ID_CLI", f"{hot} AS ID_ADDRESS", "uuid() AS x")
+    people = spark.range(0, 60_000, 1, 8).selectExpr("id AS ID_CLI", "id % 100 AS REGION")
+    places = people.selectExpr("ID_CLI AS ID_ADDRESS", "REGION")
+    for key, value in SKEW.items():
+        spark.conf.set(key, value)
+    try:
+        for joined in (
+            jn.restrict_to(left, people.groupBy("ID_CLI").count()),
+            jn.flag_members(left, people),
+            jn.enrich(left, people, "ID_CLI", ["REGION"]),
+            jn.enrich(left, places, "ID_ADDRESS", ["REGION"]),
+        ):
+            assert "skew=true" in final_plan(joined)
+    finally:
+        for key in SKEW:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
