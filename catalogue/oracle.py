@@ -49,6 +49,17 @@ lm AS (
 )"""
 
 
+def level(x, right=True):
+    """Level of ``x`` for the breaks q; where breaks coincide, the highest level that touches them."""
+    if right:
+        below = " + ".join(f"(q[{i}] < {x})::INT" for i in range(1, 5))
+        lowest = " + ".join(f"(q[{i}] <= q[1])::INT" for i in range(1, 5))
+        place = f"greatest({below}, {lowest})"
+    else:
+        place = " + ".join(f"(q[{i}] <= {x})::INT" for i in range(1, 5))
+    return f"(['LOW', 'MEDIUM', 'HIGH'])[least({place}, 3)]"
+
+
 def rfm_ctes(start):
     return f"""
 w AS (SELECT * FROM t WHERE d > DATE '{start}'),
@@ -62,9 +73,9 @@ mo AS (SELECT c, CAST(sum(gross - disc) AS DOUBLE) AS v FROM wa GROUP BY c HAVIN
 rq AS (SELECT quantile_cont(CAST(r AS DOUBLE), [0, 0.25, 0.75, 1]) AS q FROM a),
 fq AS (SELECT quantile_cont(CAST(f AS DOUBLE), [0, 0.5, 0.75, 1]) AS q FROM fr),
 mq AS (SELECT quantile_cont(v, [0, 0.25, 0.75, 1]) AS q FROM mo),
-rg AS (SELECT a.*, CASE WHEN r <= q[2] THEN 'LOW' WHEN r <= q[3] THEN 'MEDIUM' ELSE 'HIGH' END AS g FROM a, rq),
-fg AS (SELECT fr.*, CASE WHEN f >= q[3] THEN 'HIGH' WHEN f >= q[2] THEN 'MEDIUM' ELSE 'LOW' END AS g FROM fr, fq),
-mg AS (SELECT mo.*, CASE WHEN v <= q[2] THEN 'LOW' WHEN v <= q[3] THEN 'MEDIUM' ELSE 'HIGH' END AS g FROM mo, mq),
+rg AS (SELECT a.*, {level('r')} AS g FROM a, rq),
+fg AS (SELECT fr.*, {level('f', right=False)} AS g FROM fr, fq),
+mg AS (SELECT mo.*, {level('v')} AS g FROM mo, mq),
 rfm AS (
   SELECT rg.c, fg.f, fg.g AS fgrp, mg.v, mg.g AS mgrp, rg.last, rg.r, rg.g AS rgrp
   FROM fg JOIN mg ON fg.c = mg.c JOIN rg ON rg.c = fg.c
@@ -477,6 +488,18 @@ SELECT c AS "ID_CLI", churn AS "CHURN",
   CASE WHEN md5('{P.SEED}|' || c)[1:8] < 'b3333333' THEN 1 ELSE 0 END AS is_train
 FROM ds""",
 )
+_categories = (("REGION", "region"), ("TYP_JOB_CLEAN", "job"), ("LAST_COD_FID", "card"))
+ORACLE["encoded_categories"] = with_ctes(
+    *CHURN_ALL,
+    select="""
+SELECT 'RECENCY' AS term, count(*) FILTER (r <> 0) AS n FROM ds
+UNION ALL SELECT 'SPESA', count(*) FILTER (s <> 0) FROM ds
+UNION ALL SELECT 'TOT_PURCHASE', count(*) FILTER (p <> 0) FROM ds"""
+    + "".join(
+        f" UNION ALL SELECT '{name}' || {col}, count(*) FROM ds WHERE {col} > (SELECT min({col}) FROM ds) GROUP BY {col}"
+        for name, col in _categories
+    ),
+)
 BAYES = """
 tr AS (SELECT * FROM sp WHERE is_train = 1),
 te AS (SELECT * FROM sp WHERE is_train = 0),

@@ -299,7 +299,7 @@ def quantiles_approx(spark, folder):
 
 
 def all_measures(spark, folder):
-    return rf.customer_measures(star.tickets(spark, folder), P.AS_OF)
+    return materialise(rf.customer_measures(star.tickets(spark, folder), P.AS_OF))
 
 
 @query
@@ -404,7 +404,9 @@ def cut_collapsed(spark, folder):
 
 
 def groups_of(spark, folder):
-    return rf.rfm_groups(star.tickets(spark, folder), P.START, P.AS_OF, P.MAX_DAYS, when=C.MOMENT)
+    return rf.rfm_groups(
+        star.tickets(spark, folder), P.START, P.AS_OF, P.MAX_DAYS, when=C.MOMENT, on_degenerate="collapse"
+    )
 
 
 def table_of(spark, folder):
@@ -447,7 +449,7 @@ def rfm_segments(spark, folder):
 
 @query
 def rfm_scores(spark, folder):
-    scored = rf.rfm_scores(table_of(spark, folder))
+    scored = rf.rfm_scores(materialise(table_of(spark, folder)))
     return scored.select(
         C.CUSTOMER, "recency_score", "frequency_score", "monetary_score", "rfm_score"
     )
@@ -455,7 +457,7 @@ def rfm_scores(spark, folder):
 
 @query
 def rfm_points(spark, folder):
-    table = table_of(spark, folder)
+    table = materialise(table_of(spark, folder))
     pairs = {"RM": (C.RECENCY, C.MONETARY), "FM": (C.VISITS, C.MONETARY), "RF": (C.RECENCY, C.VISITS)}
     parts = None
     for name, (x, y) in pairs.items():

@@ -7,13 +7,13 @@ shuffled by (customer, ticket) first, which spreads a customer with very many ro
 from pyspark.sql import functions as F
 
 from .. import columns as C
-from ..functions.arithmetic import sum_or_null
+from ..functions.arithmetic import difference, sum_or_null
 from ..functions.dates import as_day, days_between
 from .filters import purchases_only
 
 
 def net_amount(gross=C.GROSS, discount=C.DISCOUNT):
-    return F.col(gross) - F.col(discount)
+    return difference(gross, discount)
 
 
 def recency(df, as_of, customer=C.CUSTOMER, day=C.DAY, last=C.LAST_PURCHASE, out=C.RECENCY):

@@ -106,7 +106,10 @@ def rfm_segments(rfm):
 
 
 def rfm_scores(rfm, bins=5, method="exact"):
-    """Scores 1..bins per measure and combined as 100 R + 10 F + M; recent purchases score high."""
+    """Scores 1..bins per measure and combined as 100 R + 10 F + M; recent purchases score high.
+
+    ``rfm`` is read three times: materialise it first.
+    """
     probs = [i / bins for i in range(bins + 1)]
     measures = (C.RECENCY, C.VISITS, C.MONETARY)
     edged = with_breaks(rfm, rfm, {m: probs for m in measures}, method=method)
