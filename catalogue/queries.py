@@ -691,7 +691,7 @@ def rule_columns(df, *more):
 
 @query
 def frequent_itemsets(spark, folder):
-    sets, _ = bk.itemsets(type_baskets(spark, folder), P.TYPE_SUPPORT)
+    sets, _ = bk.itemsets(materialise(type_baskets(spark, folder)), P.TYPE_SUPPORT)
     return sets.select(joined("items"), "freq")
 
 

@@ -41,7 +41,7 @@ def cut_expr(value, breaks, labels, right=True, include_lowest=True, on_degenera
     names = F.array(*[F.lit(name) for name in labels])
     label = F.when(inside, F.element_at(names, F.least(place, F.lit(k))))
     if on_degenerate == "raise" and not known:
-        repeated = F.size(F.array_distinct(edges)) < k + 1
+        repeated = edges.isNotNull() & (F.size(F.array_distinct(edges)) < k + 1)
         label = F.when(repeated, F.raise_error(F.lit("breaks are not strictly increasing"))).otherwise(label)
     return label
 

@@ -75,3 +75,8 @@ def test_all_rfm_cells(spark):
     ladder = ["Cheap", "Tin", "Copper", "Bronze", "Silver", "Gold", "Diamond"]
     want = {(s, m): ladder[i + j] for i, s in enumerate(segments) for j, m in enumerate(LEVELS)}
     assert got == want and len(RFM_CLASSES) == 15 and len(RF_SEGMENTS) == 9
+
+
+def test_no_breaks_give_no_label(spark):
+    table = spark.createDataFrame([(None,)], "b array<double>")
+    assert labels(spark, [1.0], table.scalar()) == [None]
