@@ -65,6 +65,11 @@ def enrich_via(df, bridge, dim, on=C.CUSTOMER, via=C.ADDRESS, cols=(C.REGION,),
 SMALL_ROWS = 100_000
 
 
+def is_small(df, limit=SMALL_ROWS):
+    """Whether a count proves that ``df`` has at most ``limit`` rows."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def small_side(df, limit=SMALL_ROWS):
-    """``df`` marked for broadcast when a count proves it has at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df`` marked for broadcast when it is counted to be small, else as it is."""
+    return F.broadcast(df) if is_small(df, limit) else df
