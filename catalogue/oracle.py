@@ -100,7 +100,7 @@ cls AS (
 
 RFM = rfm_ctes(P.START)
 RFM_COLUMNS = """c AS "ID_CLI", f AS "N_TRANSAZIONI", fgrp AS "FREQUENCY_GROUP", v AS "MONETARY_VALUE",
-  mgrp AS "MONETARY_GROUP", CAST(last AS VARCHAR) AS "LAST_PURCHASE", r AS "RECENCY", rgrp AS "RECENCY_GROUP" """
+  mgrp AS "MONETARY_GROUP", CAST(last AS VARCHAR) AS "LAST_PURCHASE", CAST(r AS INTEGER) AS "RECENCY", rgrp AS "RECENCY_GROUP" """
 
 # --- sources ---------------------------------------------------------------------------------
 
