@@ -206,7 +206,7 @@ def decontaminate(docs, benchmark, window=10, max_coverage=0.5):
 
 
 def _without(raw, mask):
-    spans, out, at = [m.span() for m in _WORD.finditer(raw)], [], 0
+    spans, out, at = [m.span() for m in _WORD.finditer(raw.lower())], [], 0
     for first, last in zip(*mask_spans(mask)):
         out.append(raw[at : spans[first][0]])
         at = spans[last - 1][1]

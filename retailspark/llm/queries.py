@@ -3,12 +3,27 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, language, packing, token_counts
+from . import (
+    decontamination,
+    language,
+    licenses,
+    near_dedup,
+    nearest,
+    packing,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+)
 from .common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_licenses(spark, folder):
+    return licenses.scan(documents(spark, folder).select("doc_id", "text")).drop("text")
+
+
 def op2_packing(spark, folder):
     return packing.pieces(documents(spark, folder), TOKENIZER).select(
         "doc_id",
@@ -30,22 +45,49 @@ def op3_language(spark, folder):
     return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_substring_dedup(spark, folder):
+    return substring_dedup.counts(documents(spark, folder))
+
+
+def op5_suffix_dedup(spark, folder):
+    return suffix_dedup.counts(documents(spark, folder))
+
+
 def op6_token_counts(spark, folder):
     counted = token_counts.token_counts(documents(spark, folder).select("doc_id", "text"), TOKENIZER)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op7_quality(spark, folder):
+    return quality.score(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op8_near_dedup(spark, folder):
+    return near_dedup.near_duplicates(documents(spark, folder))
+
+
 def op9_decontamination(spark, folder):
     return decontamination.hit_counts(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op10_nearest(spark, folder):
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_licenses,
         op2_packing,
         op3_language,
+        op4_substring_dedup,
+        op5_suffix_dedup,
         op6_token_counts,
+        op7_quality,
+        op8_near_dedup,
         op9_decontamination,
+        op10_nearest,
     )
 }
-ORACLE = {}
+ORACLE = {"op1_licenses": licenses.scan_sql()}
