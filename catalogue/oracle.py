@@ -112,6 +112,16 @@ SELECT CAST(c AS VARCHAR) AS "ID_CLI", count(*) AS n, CAST(sum(gross) AS DOUBLE)
   CAST(sum(dir) AS BIGINT) AS direction
 FROM t GROUP BY c""",
 )
+ORACLE["delimited_documents"] = """
+SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN '"; ' || text || chr(10) || '"";' || source ELSE text END) AS digest, source
+FROM documents"""
+ORACLE["delimited_header_orders"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS "ID_CLI", CAST(c_nationkey AS VARCHAR) AS "ID_ADDRESS", c_mktsegment AS "TYP_JOB"
+FROM customer"""
+ORACLE["invalid_values"] = """
+SELECT 'o_orderkey' AS "column", 0 AS n
+UNION ALL SELECT 'amount', count(*) FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT 'day', count(*) FROM orders WHERE o_orderkey % 7 = 0"""
 ORACLE["null_tokens_in_text"] = """
 SELECT c_custkey, c_name, CASE WHEN c_mktsegment NOT IN ('BUILDING', '') THEN c_mktsegment END AS c_mktsegment
 FROM customer"""
@@ -227,6 +237,10 @@ ORACLE["frequency"] = with_ctes(
     TICKETS,
     select='SELECT c AS "ID_CLI", count(DISTINCT tk) AS "N_TRANSAZIONI" FROM t WHERE dir = 1 GROUP BY c',
 )
+ORACLE["frequency_approx_bound"] = with_ctes(
+    TICKETS, select='SELECT DISTINCT c AS "ID_CLI", 1 AS within FROM t WHERE dir = 1'
+)
+ORACLE["quantiles_approx_bound"] = "SELECT unnest(range(0, 21)) / 20.0 AS prob, 1 AS within"
 ORACLE["monetary"] = with_ctes(
     TICKETS, select='SELECT c AS "ID_CLI", CAST(sum(gross - disc) AS DOUBLE) AS "MONETARY_VALUE" FROM t GROUP BY c'
 )
@@ -274,12 +288,13 @@ ORACLE["distribution"] = with_ctes(
     MEASURES,
     LONG_MEASURES,
     "s AS (SELECT measure, min(x) AS lo, (max(x) - min(x)) / 20.0 AS w, count(*) AS total FROM lm GROUP BY measure)",
-    "k AS (SELECT lm.measure, lo, w, total, CAST(least(floor((x - lo) / w) + 1, 20) AS INTEGER) AS bin "
-    "FROM lm JOIN s ON lm.measure = s.measure)",
+    "k AS (SELECT lm.measure, CAST(least(floor((x - lo) / w) + 1, 20) AS INTEGER) AS bin, count(*) AS n "
+    "FROM lm JOIN s ON lm.measure = s.measure GROUP BY ALL)",
     select="""
-SELECT measure, bin, round(lo + w * (bin - 1), 4) AS lo, round(lo + w * (bin - 1) + w, 4) AS hi, count(*) AS n,
-  round(count(*) / (total * w), 10) AS density
-FROM k GROUP BY measure, bin, lo, w, total""",
+SELECT s.measure, b.bin, round(lo + w * (b.bin - 1), 4) AS lo, round(lo + w * (b.bin - 1) + w, 4) AS hi,
+  coalesce(n, 0) AS n, round(coalesce(n, 0) / (total * w), 10) AS density
+FROM s CROSS JOIN (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS bin) b
+  LEFT JOIN k ON k.measure = s.measure AND k.bin = b.bin""",
 )
 ORACLE["article_sales"] = """
 SELECT l_partkey AS "ID_ARTICOLO", count(*) AS "NUM_VENDITE" FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -328,7 +343,7 @@ ORACLE["joined_articles"] = with_ctes(
     TICKETS,
     select="""
 SELECT c AS "ID_CLI", CAST(d AS VARCHAR) AS day,
-  string_agg(DISTINCT CAST(art AS VARCHAR), ',' ORDER BY CAST(art AS VARCHAR)) AS items
+  string_agg(CAST(art AS VARCHAR), ',' ORDER BY CAST(art AS VARCHAR)) AS items
 FROM t GROUP BY c, d""",
 )
 ORACLE["cut_right_closed"] = """
@@ -489,6 +504,12 @@ SELECT c AS "ID_CLI", churn AS "CHURN",
 FROM ds""",
 )
 _categories = (("REGION", "region"), ("TYP_JOB_CLEAN", "job"), ("LAST_COD_FID", "card"))
+ORACLE["encoded_one_level"] = with_ctes(
+    *CHURN_ALL,
+    select="""
+SELECT 3 + count(DISTINCT region) - 1 + count(DISTINCT job) - 1 AS features, count(*) AS n,
+  3 + count(DISTINCT region) - 1 + count(DISTINCT job) - 1 AS terms FROM ds""",
+)
 ORACLE["encoded_categories"] = with_ctes(
     *CHURN_ALL,
     select="""
@@ -500,6 +521,45 @@ UNION ALL SELECT 'TOT_PURCHASE', count(*) FILTER (p <> 0) FROM ds"""
         for name, col in _categories
     ),
 )
+TRAIN = "tr AS (SELECT * FROM sp WHERE is_train = 1)"
+ORACLE["tree_leaf_shares"] = with_ctes(
+    *CHURN_ALL,
+    SPLIT,
+    TRAIN,
+    select="""
+SELECT count(*) AS n, CAST(sum(churn) AS BIGINT) AS positives, CAST(sum(churn) AS DOUBLE) AS fitted, 0 AS leaves_off
+FROM tr""",
+)
+ORACLE["logistic_totals"] = with_ctes(
+    *CHURN_ALL,
+    SPLIT,
+    TRAIN,
+    select="""
+SELECT '(Intercept)' AS term, CAST(sum(churn) AS BIGINT) AS observed, CAST(sum(churn) AS DOUBLE) AS fitted FROM tr"""
+    + "".join(
+        f" UNION ALL SELECT '{name}' || l.{col}, CAST(coalesce(sum(churn), 0) AS BIGINT), "
+        f"CAST(coalesce(sum(churn), 0) AS DOUBLE) FROM (SELECT DISTINCT {col} FROM ds) l LEFT JOIN tr ON tr.{col} = l.{col} "
+        f"WHERE l.{col} > (SELECT min({col}) FROM ds) GROUP BY l.{col}"
+        for name, col in _categories
+    ),
+)
+ORACLE["logistic_null_deviance"] = with_ctes(
+    *CHURN_ALL,
+    SPLIT,
+    TRAIN,
+    "sh AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(churn) AS DOUBLE) AS k FROM tr)",
+    select="""
+SELECT round(-2 * (k * ln(k / n) + (n - k) * ln(1 - k / n)), 3) AS null_deviance, CAST(n - 1 AS BIGINT) AS null_df,
+  0.0::DOUBLE AS aic_gap FROM sh""",
+)
+ORACLE["predicted_rows"] = with_ctes(
+    *CHURN_ALL,
+    SPLIT,
+    select="""
+SELECT model, count(*) AS n, CAST(sum(churn) AS BIGINT) AS positives, 0 AS classes_off
+FROM sp CROSS JOIN (SELECT unnest(['logistic_reg', 'random_forest', 'dec_tree']) AS model)
+WHERE is_train = 0 GROUP BY model""",
+)
 BAYES = """
 tr AS (SELECT * FROM sp WHERE is_train = 1),
 te AS (SELECT * FROM sp WHERE is_train = 0),
@@ -587,6 +647,16 @@ SELECT tp, fp, fn, tn, round(po, 9) AS accuracy, round(tp / (tp + fn), 9) AS rec
   round(2 * tp / (2 * tp + fp + fn), 9) AS f1
 FROM ce""",
 )
+ORACLE["confusion_report"] = with_ctes(
+    *BAYES_ALL,
+    MATRIX,
+    select="""
+SELECT round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS balanced_accuracy,
+  round(tn / (tn + fn), 9) AS negative_predictive_value, round((tp + fn) / n, 9) AS prevalence,
+  round(tp / n, 9) AS detection_rate, round((tp + fp) / n, 9) AS detection_prevalence,
+  round(CAST((abs(fp - fn) - 1) * (abs(fp - fn) - 1) AS DOUBLE) / (fp + fn), 9) AS mcnemar
+FROM cm""",
+)
 ORACLE["f1_score"] = with_ctes(*BAYES_ALL, MATRIX, select="SELECT round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM ce")
 
 # --- baskets and rules ------------------------------------------------------------------------
@@ -659,6 +729,12 @@ ORACLE["frequent_itemsets"] = with_ctes(
 ORACLE["association_rules"] = with_ctes(
     *RULES_ALL, select=f"SELECT {RULE_COLUMNS}, CAST(n AS BIGINT) AS count FROM ru"
 )
+ORACLE["rule_coverage"] = with_ctes(
+    *RULES_ALL,
+    select="""
+SELECT array_to_string(antecedent, ',') AS antecedent, array_to_string(consequent, ',') AS consequent,
+  round(support / confidence, 9) AS coverage FROM ru""",
+)
 ORACLE["association_rules_of_sets"] = ORACLE["association_rules"]
 
 
@@ -730,3 +806,17 @@ SELECT unnest(antecedent) AS source, lhs || ' => ' || rhs AS target, round(suppo
 FROM best
 UNION ALL SELECT lhs || ' => ' || rhs, unnest(consequent), round(support, 9), round(lift, 9) FROM best""",
 )
+GAP_LINES = """
+al AS (
+  SELECT o_custkey AS c, o_orderdate AS ts, CASE WHEN o_orderkey % 5 <> 0 THEN p_type END AS item
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+),
+bl AS (SELECT DISTINCT c, ts, item FROM al WHERE item IS NOT NULL)"""
+ORACLE["basket_totals_with_gaps"] = with_ctes(
+    GAP_LINES,
+    select="""
+SELECT unnest(['lines', 'sets', 'pairs', 'files']) AS way, count(*) AS baskets FROM (SELECT DISTINCT c, ts FROM al)""",
+)
+ORACLE["pair_rules_with_gaps"] = pair_sql(GAP_LINES, P.TYPE_SUPPORT, P.BRAND_CONFIDENCE).replace(
+    "FROM (SELECT DISTINCT c, ts FROM bl)", "FROM (SELECT DISTINCT c, ts FROM al)"
+)

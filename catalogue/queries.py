@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from retailspark import columns as C
-from retailspark.functions import cut, days_between, join_members, parse_day
+from retailspark.functions import cut, days_between, parse_day
 from retailspark.operators import aggregates as agg
 from retailspark.operators import baskets as bk
 from retailspark.operators import bayes as nb
@@ -19,6 +19,7 @@ from retailspark.plans import rfm as rf
 from retailspark.session import materialise, scratch_path
 from retailspark.sources import (
     DATASET,
+    invalid_counts,
     load_dataset,
     null_tokens,
     read_baskets,
@@ -71,6 +72,41 @@ def delimited_tickets(spark, folder):
     )
 
 
+@query
+def delimited_documents(spark, folder):
+    """Texts with quotes, separators and line breaks, through a file and back."""
+    path = scratch_path(spark, "documents")
+    docs = star.table(spark, folder, "documents").select("doc_id", "text", "source")
+    hard = F.concat(F.lit('"; '), "text", F.lit('\n"";'), "source")
+    write_delimited(docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, hard).otherwise(F.col("text"))), path)
+    back = read_delimited(spark, path, "doc_id long, text string, source string", multi_line=True)
+    return back.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), "source")
+
+
+@query
+def delimited_header_orders(spark, folder):
+    """A folder whose files name the same columns in two orders."""
+    path = scratch_path(spark, "accounts")
+    people = star.accounts(spark, folder)
+    write_delimited(people.filter(F.col(C.CUSTOMER) % 2 == 0), path)
+    swapped = people.filter(F.col(C.CUSTOMER) % 2 != 0).select(C.JOB, C.CUSTOMER, C.ADDRESS)
+    write_delimited(swapped, path, mode="append")
+    lines = read_delimited(spark, path, C.ACCOUNT_SCHEMA, headers="per_file")
+    return lines.select(C.CUSTOMER, C.ADDRESS, C.JOB)
+
+
+@query
+def invalid_values(spark, folder):
+    """Values of each column that are no numbers or days, counted instead of raised."""
+    path = scratch_path(spark, "orders")
+    orders = star.table(spark, folder, "orders")
+    amount = F.when(F.col("o_orderkey") % 5 == 0, "1.234,50").otherwise(F.col("o_totalprice").cast("string"))
+    day = F.col("o_orderdate").cast("date").cast("string")
+    day = F.when(F.col("o_orderkey") % 7 == 0, "02/01/2019").otherwise(day)
+    write_delimited(orders.select("o_orderkey", amount.alias("amount"), day.alias("day")), path)
+    return invalid_counts(spark, path, "o_orderkey long, amount decimal(18,2), day date")
+
+
 @query
 def null_tokens_in_text(spark, folder):
     people = star.table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
@@ -242,6 +278,16 @@ def frequency_approx(spark, folder):
     return agg.frequency(star.tickets(spark, folder), method="approx")
 
 
+@query
+def frequency_approx_bound(spark, folder):
+    """Customers whose approximate count lies within five standard errors of the exact one."""
+    lines = star.tickets(spark, folder)
+    near = agg.frequency(lines, method="approx").withColumnRenamed(C.VISITS, "near")
+    both = agg.frequency(lines).join(near, C.CUSTOMER)
+    within = F.abs(F.col("near") - F.col(C.VISITS)) <= 5 * 0.05 * F.col(C.VISITS)
+    return both.select(C.CUSTOMER, within.cast("int").alias("within"))
+
+
 @query
 def monetary(spark, folder):
     return agg.monetary(star.tickets(spark, folder)).select(C.CUSTOMER, *number(C.MONETARY))
@@ -298,6 +344,21 @@ def quantiles_approx(spark, folder):
     return qt.quantiles(values, C.MONETARY, VENTILES, method="approx")
 
 
+@query
+def quantiles_approx_bound(spark, folder):
+    """Whether each approximate quantile has a rank within the declared error of its own."""
+    values = materialise(agg.monetary(star.tickets(spark, folder)).select(F.col(C.MONETARY).cast("double").alias("v")))
+    table = qt.quantiles(values, "v", VENTILES, method="approx")
+    n = values.count()
+    slack = n / qt.ACCURACY + 1
+    rows = []
+    for prob, value in table.select("prob", "value").collect():  # one row per ventile
+        low, high = F.count_if(F.col("v") < value) - slack, F.count_if(F.col("v") <= value) + slack
+        within = (low <= prob * n) & (high >= prob * n)
+        rows.append(F.struct(F.lit(prob).alias("prob"), within.cast("int").alias("within")))
+    return values.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def all_measures(spark, folder):
     return materialise(rf.customer_measures(star.tickets(spark, folder), P.AS_OF))
 
@@ -372,12 +433,8 @@ def day_differences(spark, folder):
 
 @query
 def joined_articles(spark, folder):
-    baskets = bk.baskets(star.tickets(spark, folder))
-    return baskets.select(
-        C.CUSTOMER,
-        F.col(C.MOMENT).cast("date").cast("string").alias("day"),
-        join_members(F.col("items")).alias("items"),
-    )
+    lists = bk.article_lists(star.tickets(spark, folder))
+    return lists.select(C.CUSTOMER, F.col(C.MOMENT).cast("date").cast("string").alias("day"), "items")
 
 
 @query
@@ -508,6 +565,7 @@ def churn_rows(spark, folder):
         P.LOOKBACK,
         P.HOLDOUT_END,
         when=C.MOMENT,
+        unique=False,  # the star's tables have one row per key
     )
 
 
@@ -548,6 +606,17 @@ def encoded_categories(spark, folder):
     return long.groupBy("term").agg(F.count_if(F.col("value") != 0).alias("n"))
 
 
+@query
+def encoded_one_level(spark, folder):
+    """The same with a category that has one level only."""
+    rows = materialise(churn_rows(spark, folder).withColumn(C.CARD, F.lit("ONE")))
+    encoder, encoded = ch.encode(rows)
+    width = F.size(ch.vector_to_array("features"))
+    return encoded.groupBy(width.alias("features")).agg(
+        F.count(F.lit(1)).alias("n"), F.lit(len(ch.term_names(encoder))).alias("terms")
+    )
+
+
 def rounded_predictions(df):
     return df.select(C.CUSTOMER, "label", "prediction", *rounded(6, "probability"))
 
@@ -588,6 +657,65 @@ def logistic_regression(spark, folder):
     return rounded_predictions(ch.predict(ch.logistic_regression(train), test))
 
 
+@query
+def tree_leaf_shares(spark, folder):
+    """All leaves together: training rows, positives, what the leaves' probabilities give, and leaves that are off."""
+    encoder, train, _ = encoded_split(spark, folder)
+    leaves = ch.leaf_shares(ch.decision_tree(train, encoder), train)
+    off = F.abs(F.col("probability") - F.col("positives") / F.col("n")) > 1e-9
+    return leaves.agg(
+        F.sum("n").alias("n"),
+        F.sum("positives").cast("long").alias("positives"),
+        F.round(F.sum(F.col("n") * F.col("probability")), 6).alias("fitted"),
+        F.count_if(off).alias("leaves_off"),
+    )
+
+
+@query
+def logistic_totals(spark, folder):
+    encoder, train, _ = encoded_split(spark, folder)
+    totals = ch.fitted_totals(ch.logistic_regression(train), train, encoder)
+    exact = totals.filter(~F.col("term").isin(*ch.NUMERIC))
+    return exact.select("term", F.col("observed").cast("long").alias("observed"), *rounded(0, "fitted"))
+
+
+@query
+def logistic_summary(spark, folder):
+    _, train, _ = encoded_split(spark, folder)
+    table = ch.logistic_summary(train)
+    return table.select(*rounded(3, "null_deviance"), "null_df", *rounded(6, "residual_deviance", "aic"), "residual_df")
+
+
+@query
+def logistic_null_deviance(spark, folder):
+    _, train, _ = encoded_split(spark, folder)
+    table = ch.logistic_summary(train)
+    gap = F.col("aic") - F.col("residual_deviance") - 2 * (F.col("null_df") - F.col("residual_df") + 1)
+    return table.select(*rounded(3, "null_deviance"), "null_df", F.round(F.abs(gap), 6).alias("aic_gap"))
+
+
+@query
+def predicted_rows(spark, folder):
+    """Rows and positives that each model predicts for, and rows whose class is not that of its probability."""
+    encoder, train, test = encoded_split(spark, folder)
+    models = {
+        "logistic_reg": ch.logistic_regression(train),
+        "random_forest": ch.random_forest(train, encoder),
+        "dec_tree": ch.decision_tree(train, encoder),
+    }
+    parts = None
+    for name, model in models.items():
+        off = F.col("prediction") != F.when(F.col("probability") > 0.5, "1").otherwise("0")
+        one = ch.predict(model, test).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("label") == "1").alias("positives"),
+            F.count_if(off & (F.col("probability") != 0.5)).alias("classes_off"),
+        )
+        one = one.select(F.lit(name).alias("model"), "*")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
 @query
 def logistic_coefficients(spark, folder):
     encoder, train, _ = encoded_split(spark, folder)
@@ -631,6 +759,12 @@ def model_metrics(spark, folder):
     )
 
 
+@query
+def confusion_report(spark, folder):
+    table = ev.confusion_report(bayes_of(spark, folder)[1])
+    return table.select(*rounded(9, *table.columns))
+
+
 @query
 def f1_score(spark, folder):
     return ev.f1(bayes_of(spark, folder)[1]).select(*rounded(9, "f1"))
@@ -664,15 +798,44 @@ def baskets(spark, folder):
     )
 
 
+def tickets_with_gaps(spark, folder):
+    """Kinds of articles, missing on all lines of every ticket whose number five divides."""
+    return star.tickets(spark, folder, article="p_type").withColumn(
+        C.ARTICLE, F.when(F.col(C.TICKET) % 5 != 0, F.col(C.ARTICLE))
+    )
+
+
+@query
+def basket_totals_with_gaps(spark, folder):
+    """Number of baskets by three ways, some baskets having no article."""
+    lines = materialise(bk.basket_lines(tickets_with_gaps(spark, folder)))
+    sets = materialise(bk.baskets(tickets_with_gaps(spark, folder)))
+    path = scratch_path(spark, "baskets")
+    write_baskets(sets, path)
+    ways = {
+        "lines": bk.frequent_items(lines)[1],
+        "sets": bk.itemsets(sets)[1],
+        "pairs": rl.pair_counts(lines)[2],
+        "files": read_baskets(spark, path).count(),
+    }
+    return spark.createDataFrame(list(ways.items()), "way string, baskets long")
+
+
+@query
+def pair_rules_with_gaps(spark, folder):
+    lines = bk.basket_lines(tickets_with_gaps(spark, folder))
+    return rule_columns(rl.pair_rules(lines, bk.KEYS, P.TYPE_SUPPORT, P.BRAND_CONFIDENCE), "count")
+
+
 @query
 def basket_summary(spark, folder):
-    table = bk.basket_summary(materialise(type_baskets(spark, folder)))
+    table = bk.basket_summary(materialise(lines_of(spark, folder, "p_type")))
     return table.select("section", "name", *rounded(9, "value"))
 
 
 @query
 def item_frequency(spark, folder):
-    return bk.item_frequency(bk.baskets(star.tickets(spark, folder, article="p_brand")), 10)
+    return bk.item_frequency(lines_of(spark, folder, "p_brand"), 10)
 
 
 def lines_of(spark, folder, article="l_partkey"):
@@ -701,6 +864,12 @@ def association_rules(spark, folder):
     return rule_columns(found, "count")
 
 
+@query
+def rule_coverage(spark, folder):
+    found = rl.rules_of_lines(lines_of(spark, folder, "p_type"), bk.KEYS, P.TYPE_SUPPORT, P.TYPE_CONFIDENCE)
+    return found.select(joined("antecedent"), joined("consequent"), *rounded(9, "coverage"))
+
+
 @query
 def association_rules_of_sets(spark, folder):
     return rule_columns(rl.rules(type_baskets(spark, folder), P.TYPE_SUPPORT, P.TYPE_CONFIDENCE), "count")

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
-from .joins import is_small
 
 FLOOR = 0.001
 
@@ -99,16 +98,15 @@ def _log_density(x, mean, sd, floor):
 def predict_bayes(model, df, key, positive="1"):
     """Rows (key, label, prediction, probability of ``positive``).
 
-    Level shares are joined per category, broadcast only when counted to be small; levels not seen in
-    training score the floor. Missing predictors add nothing.
+    Level shares are joined per category from a written table, whose size Spark knows; levels not seen in training
+    score the floor. Missing predictors add nothing.
     """
     out = df
-    few = is_small(model.shares)  # then the part of each category is small too
     for f in model.categorical:
         table = model.shares.filter(F.col("feature") == f).select(
             F.col("level").alias(f"_l_{f}"), F.col("shares").alias(f"_s_{f}")
         )
-        out = out.join(F.broadcast(table) if few else table, F.col(f).cast("string") == F.col(f"_l_{f}"), "left")
+        out = out.join(table, F.col(f).cast("string") == F.col(f"_l_{f}"), "left")
     total = sum(model.rows.values())
     scores = []
     for i, c in enumerate(model.classes):

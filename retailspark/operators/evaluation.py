@@ -43,6 +43,23 @@ def metrics(pred, positive="1", label="label", prediction="prediction", by=()):
     )
 
 
+def confusion_report(pred, positive="1"):
+    """One row more of the same counts: balanced accuracy, negative predictive value, prevalence, detection rate,
+    detection prevalence, and the McNemar statistic with continuity correction."""
+    m = metrics(pred, positive)
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    wrong = F.col("fp") + F.col("fn")
+    gap = F.abs(F.col("fp") - F.col("fn")) - 1
+    return m.select(
+        ((F.col("recall") + F.col("specificity")) / 2).alias("balanced_accuracy"),
+        F.try_divide(F.col("tn"), F.col("tn") + F.col("fn")).alias("negative_predictive_value"),
+        F.try_divide(F.col("tp") + F.col("fn"), n).alias("prevalence"),
+        F.try_divide(F.col("tp"), n).alias("detection_rate"),
+        F.try_divide(F.col("tp") + F.col("fp"), n).alias("detection_prevalence"),
+        F.try_divide((gap * gap).cast("double"), wrong).alias("mcnemar"),
+    )
+
+
 def f1(pred, positive="1", label="label", prediction="prediction"):
     return metrics(pred, positive, label, prediction).select("f1")
 

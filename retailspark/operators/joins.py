@@ -1,22 +1,21 @@
 """Equi-joins of tickets, customer tables and dimensions.
 
-Joins carry no broadcast hint unless a count has proved the side small: Spark broadcasts a side when
-its measured size allows, and otherwise joins by shuffle, where adaptive execution splits the
-partitions of hot keys. It can do so only where the join shuffles both sides itself. A side grouped
-by the join key would come without a shuffle of its own, so such sides take the key from an aggregate
-instead of the grouping column.
+Joins carry no broadcast hint: Spark broadcasts a side when its size allows, and otherwise joins by shuffle,
+where adaptive execution splits the partitions of hot keys. It can do so only where the join shuffles both sides
+itself. A side grouped by the join key would come without a shuffle of its own, so ``key_set`` hands its keys on in
+an expression that hides from the planner how they are dealt.
 """
 
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .. import columns as C
 
 
 def key_set(keys, on):
     """Distinct keys, as a side that the join shuffles itself."""
-    return keys.groupBy(F.col(on).alias("_group")).agg(F.max(on).alias(on)).drop("_group")
+    return keys.select(on).distinct().select(F.element_at(F.array(on), 1).alias(on))
 
 
 def restrict_to(df, keys, on=C.CUSTOMER):
@@ -38,9 +37,10 @@ def flag_members(df, keys, on=C.CUSTOMER, name=C.CHURN, present=0, absent=1):
 
 def unique_by(dim, on, cols):
     """One row per key: the one with the smallest ``cols``, nulls last, as one value tuple."""
-    ranked = [x for c in cols for x in (F.col(c).isNull().alias(f"_n_{c}"), F.col(c).alias(c))]
-    best = dim.groupBy(F.col(on).alias("_group")).agg(F.min(F.struct(*ranked, F.col(on).alias("_key"))).alias("_best"))
-    return best.select(F.col("_best._key").alias(on), *[F.col(f"_best.{c}").alias(c) for c in cols])
+    order = [F.asc_nulls_last(c) for c in cols]
+    first = Window.partitionBy(on).orderBy(*order)
+    ranked = dim.select(on, *cols).distinct().withColumn("_row", F.row_number().over(first))
+    return ranked.filter("_row = 1").drop("_row")
 
 
 def enrich(df, dim, on, cols, unique=True):
@@ -60,16 +60,3 @@ def enrich_via(df, bridge, dim, on=C.CUSTOMER, via=C.ADDRESS, cols=(C.REGION,),
     """
     step = enrich(df, bridge, on, [via, *bridge_cols], unique)
     return enrich(step, dim, via, list(cols), unique).drop(via)
-
-
-SMALL_ROWS = 100_000
-
-
-def is_small(df, limit=SMALL_ROWS):
-    """Whether a count proves that ``df`` has at most ``limit`` rows."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def small_side(df, limit=SMALL_ROWS):
-    """``df`` marked for broadcast when it is counted to be small, else as it is."""
-    return F.broadcast(df) if is_small(df, limit) else df

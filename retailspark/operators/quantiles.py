@@ -84,11 +84,24 @@ def _exact(rows, probs, accuracy):
     runs = spots.groupBy("measure", "gap", "kept").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("first"), F.max("value").alias("last")
     )
-    per_measure = Window.partitionBy("measure")
-    upto = per_measure.orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = runs.withColumns(
-        {"total": F.sum("n").over(per_measure), "end": F.sum("n").over(upto)}
-    ).withColumn("start", F.col("end") - F.col("n"))
+    # gaps follow each other in value, so a value's rank is its gap's offset plus its rank inside the gap: one task
+    # ranks the values of one bracket, and one row per gap is all that is ranked per measure
+    per_measure, per_gap = Window.partitionBy("measure"), Window.partitionBy("measure", "gap")
+    before = per_measure.orderBy("gap").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = runs.groupBy("measure", "gap").agg(F.sum("n").alias("n"))
+    gaps = gaps.select(
+        "measure",
+        "gap",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+        F.sum("n").over(per_measure).alias("total"),
+    )
+    inside = per_gap.orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        runs.withColumn("inside", F.sum("n").over(inside))
+        .join(gaps, ["measure", "gap"])
+        .withColumn("end", F.col("offset") + F.col("inside"))
+        .withColumn("start", F.col("end") - F.col("n"))
+    )
     at = (F.col("total") - 1) * F.col("prob")
     hits = (
         ranked.withColumn("prob", F.explode(_array(wanted)))
@@ -162,7 +175,10 @@ def profile(df, columns, method="exact"):
 
 
 def distribution(df, columns, bins=20):
-    """Density table per column: equal-width bins with count and density = n / (N * width)."""
+    """Density table per column: equal-width bins with count and density = n / (N * width); empty bins are 0.
+
+    A column with one value only has one bin and no density.
+    """
     rows = _long(df, list(columns))
     spans = rows.groupBy("measure").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("total")
@@ -177,9 +193,13 @@ def distribution(df, columns, bins=20):
     slot = F.when(width == 0, 1).otherwise(
         F.least(F.floor(F.try_divide(F.col("value") - lo, width)).cast("int") + 1, F.lit(bins))
     )
-    counts = rows.groupBy("measure", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first("_s").alias("_s"))
+    counts = rows.groupBy("measure", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins_of = F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")
+    grid = spans.select("measure", F.struct("lo", "hi", "total").alias("_s"), bins_of)
     low_edge = lo + width * (F.col("bin") - 1)
-    return counts.select(
+    grid = grid.filter((lo < s["hi"]) | (F.col("bin") == 1))
+    filled = grid.join(counts, ["measure", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return filled.select(
         "measure",
         "bin",
         low_edge.alias("lo"),

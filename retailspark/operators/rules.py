@@ -9,7 +9,6 @@ from .quantiles import PROFILE, quantile_table
 
 TIES = ("antecedent", "consequent")
 BLOCK = 256  # items per block of a basket in pair counting
-ENUMERATE_UP_TO = 12  # items: larger sets look for contained sets by their rarest item
 
 
 def _measured(df, total):
@@ -23,6 +22,7 @@ def _measured(df, total):
         confidence.alias("confidence"),
         (confidence / (F.col("n_c") / total)).alias("lift"),
         F.col("n").alias("count"),
+        (F.col("n_a") / total).alias("coverage"),
     )
 
 
@@ -134,20 +134,10 @@ def _item_set():
 
 
 def _containing(family):
-    """Sets of ``family`` that strictly contain another of its sets; columns ``s`` (set), ``k`` (size).
+    """Sets of a written ``family`` that strictly contain another of its sets; columns ``s`` (set), ``k`` (size).
 
-    Up to ``ENUMERATE_UP_TO`` items a set looks up its own proper subsets by equality. A larger one is
-    compared with the sets whose rarest item it holds.
+    A set is compared with the smaller sets whose rarest item it holds.
     """
-    lookup = family.select(F.col("s").alias("sub"))
-    small = family.filter((F.col("k") > 2) & (F.col("k") <= ENUMERATE_UP_TO))
-    masks = F.expr("filter(sequence(1, shiftleft(1, k) - 2), m -> bit_count(m) >= 2)")
-    subsets = small.select("s", F.explode(masks).alias("m")).select(
-        "s", F.expr("filter(s, (x, i) -> getbit(m, i) = 1)").alias("sub")
-    )
-    by_lookup = subsets.join(lookup, "sub", "left_semi").select("s")
-
-    large = family.filter(F.col("k") > ENUMERATE_UP_TO)
     members = family.select("s", "k", F.explode("s").alias("item"))
     rarity = members.groupBy("item").agg(F.count(F.lit(1)).alias("uses"))
     rarest = (
@@ -157,9 +147,7 @@ def _containing(family):
         .select(F.col("s").alias("sub"), F.col("k").alias("sub_k"), F.col("r.item").alias("item"))
     )
     holds = (F.col("sub_k") < F.col("k")) & (F.size(F.array_except("sub", "s")) == 0)
-    probes = large.select("s", "k", F.explode("s").alias("item"))
-    by_rarest = probes.join(rarest, "item").filter(holds).select("s")
-    return by_lookup.union(by_rarest).distinct()
+    return members.join(rarest, "item").filter(holds).select("s").distinct()
 
 
 def redundant(r):
@@ -167,12 +155,12 @@ def redundant(r):
 
     Rules rank by support, then smaller item sets, then confidence. A rule is redundant when an earlier
     rule has the same item set, or one contained in its own. A contained set has at least the support of
-    the set, so it always ranks earlier.
+    the set, so it always ranks earlier. The rules are written once, because they are read several times.
     """
-    with_set = r.withColumn("s", _item_set())
+    with_set = materialise(r.withColumn("s", _item_set()), "rules")
     order = Window.partitionBy("s").orderBy(F.desc("confidence"), *[F.asc(t) for t in TIES])
     placed = with_set.withColumn("_place", F.row_number().over(order))
-    family = with_set.select("s").distinct().withColumn("k", F.size("s"))
+    family = materialise(with_set.select("s").distinct().withColumn("k", F.size("s")), "rule-sets")
     covered = _containing(family).withColumn("_covered", F.lit(True))
     flag = (F.col("_place") > 1) | F.coalesce("_covered", F.lit(False))
     return placed.join(covered, "s", "left").withColumn("redundant", flag).drop("s", "_place", "_covered")

@@ -58,40 +58,63 @@ def labelled_features(tickets, ref, lookback_start, holdout_end, when=C.DAY, nul
 
 
 def churn_dataset(
-    tickets, accounts, loyalty, addresses, ref, lookback_start, holdout_end, when=C.DAY, null_policy="propagate"
+    tickets,
+    accounts,
+    loyalty,
+    addresses,
+    ref,
+    lookback_start,
+    holdout_end,
+    when=C.DAY,
+    null_policy="propagate",
+    unique=True,
 ):
-    """Labelled customers with job, card and region; rows with a missing value are dropped."""
+    """Labelled customers with job, card and region; rows with a missing value are dropped.
+
+    ``unique=False`` says that the three tables already have one row per key, which saves reducing them.
+    """
     base = labelled_features(tickets, ref, lookback_start, holdout_end, when, null_policy)
     jobs = accounts.withColumn(C.JOB_CLEAN, F.col(C.JOB))
     # joins on the customer first: they share one partitioning, only the address needs another
-    carded = enrich(base, loyalty, C.CUSTOMER, [C.CARD])
-    placed = enrich_via(carded, jobs, addresses, cols=(C.REGION,), bridge_cols=(C.JOB_CLEAN,))
+    carded = enrich(base, loyalty, C.CUSTOMER, [C.CARD], unique)
+    placed = enrich_via(carded, jobs, addresses, cols=(C.REGION,), bridge_cols=(C.JOB_CLEAN,), unique=unique)
     return complete_cases(
         placed.select(C.CUSTOMER, *NUMERIC, C.CHURN, C.JOB_CLEAN, C.CARD, C.REGION)
     )
 
 
-def encode(df, numeric=NUMERIC, categorical=CATEGORICAL, label=C.CHURN):
+MOST_LEVELS = 100_000  # levels of a category that the driver and the model can hold
+
+
+def encode(df, numeric=NUMERIC, categorical=CATEGORICAL, label=C.CHURN, most_levels=MOST_LEVELS):
     """Model input: level indices, indicator columns with the alphabetically first level as base, and the
     vectors ``features`` (for linear models) and ``tree_features``. Fit on all rows, before the split.
 
-    Returns the fitted stages and the encoded rows. ``df`` is read twice: materialise it first.
+    A category with one level has no indicators. The driver keeps the names of all levels, so a category with more
+    than ``most_levels`` of them raises. Returns the fitted stages and the encoded rows. ``df`` is read several times:
+    materialise it first.
     """
+    levels = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    for name in categorical:
+        if levels[name] > most_levels:
+            raise ValueError(f"category {name} has about {levels[name]} levels, more than most_levels={most_levels}")
     index = [f"{c}_index" for c in categorical]
     dummies = [f"{c}_dummies" for c in categorical]
     values = [f"{c}_value" for c in numeric]
     plain = df.withColumns(
         {**{v: F.col(c).cast("double") for v, c in zip(values, numeric)}, "label": F.col(label).cast("double")}
     )
-    stages = [
-        StringIndexer(
-            inputCols=list(categorical),
-            outputCols=index,
-            stringOrderType="alphabetDesc",
-            handleInvalid="error",
-        ),
-        OneHotEncoder(inputCols=index, outputCols=dummies, dropLast=True),
-        VectorAssembler(inputCols=[*values, *dummies], outputCol="features"),
+    indexer = StringIndexer(
+        inputCols=list(categorical), outputCols=index, stringOrderType="alphabetDesc", handleInvalid="error"
+    ).fit(plain)
+    several = [i for i, names in enumerate(indexer.labelsArray) if len(names) > 1]
+    stages = [indexer]
+    if several:
+        stages.append(
+            OneHotEncoder(inputCols=[index[i] for i in several], outputCols=[dummies[i] for i in several], dropLast=True)
+        )
+    stages += [
+        VectorAssembler(inputCols=[*values, *[dummies[i] for i in several]], outputCol="features"),
         VectorAssembler(inputCols=[*values, *index], outputCol="tree_features"),
     ]
     fitted = Pipeline(stages=stages).fit(plain)
@@ -151,9 +174,51 @@ def logistic_regression(train):
     return LogisticRegression(featuresCol="features", regParam=0.0).fit(train)
 
 
+def _linear_fit(train):
+    return GeneralizedLinearRegression(featuresCol="features", family="binomial", link="logit").fit(train)
+
+
+def logistic_summary(train):
+    """One row: null and residual deviance with their degrees of freedom, and AIC."""
+    summary = _linear_fit(train).summary
+    row = (
+        float(summary.nullDeviance),
+        int(summary.residualDegreeOfFreedomNull),
+        float(summary.deviance),
+        int(summary.residualDegreeOfFreedom),
+        float(summary.aic),
+    )
+    schema = "null_deviance double, null_df long, residual_deviance double, residual_df long, aic double"
+    return train.sparkSession.createDataFrame([row], schema)
+
+
+def fitted_totals(model, train, encoder):
+    """Rows (term, observed, fitted): over the training rows, the sum of each indicator (and of 1) times the label,
+    and times the probability that ``model`` gives. At the optimum of an unpenalised logistic regression both agree."""
+    scored = model.transform(train)
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    names = [*term_names(encoder), "(Intercept)"]
+    values = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("term"), values.alias("x"))
+    long = scored.select("label", p.alias("p"), F.inline(pairs)).toDF("label", "p", "term", "x")
+    return long.groupBy("term").agg(
+        F.sum(F.col("x") * F.col("label")).alias("observed"), F.sum(F.col("x") * F.col("p")).alias("fitted")
+    )
+
+
+def leaf_shares(model, train):
+    """Rows (leaf, n, positives, probability) of a decision tree: each leaf's training rows and its probability."""
+    scored = model.setLeafCol("leaf").transform(train)
+    return scored.groupBy(F.col("leaf").cast("int").alias("leaf")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("label").alias("positives"),
+        F.max(F.get(vector_to_array("probability"), F.lit(1))).alias("probability"),
+    )
+
+
 def logistic_coefficients(train, encoder):
     """Coefficient table with standard errors, z values and p values."""
-    fit = GeneralizedLinearRegression(featuresCol="features", family="binomial", link="logit").fit(train)
+    fit = _linear_fit(train)
     summary = fit.summary
     names = [*term_names(encoder), "(Intercept)"]
     estimates = [*[float(x) for x in fit.coefficients], float(fit.intercept)]

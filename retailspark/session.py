@@ -1,6 +1,8 @@
 """Session settings and the shared folder for materialised tables."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,10 +44,21 @@ def shared_dir(spark):
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     own = tempfile.mkdtemp(prefix="retailspark-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+def release(spark):
+    """Removes all tables that jobs of this library have written under the shared folder and not removed.
+
+    For the end of an application: results not yet written elsewhere may still read them.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), "retailspark"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark, name):
     """A fresh path under the shared folder for a table written by one job."""
     return os.path.join(shared_dir(spark), "retailspark", f"{name}-{uuid.uuid4().hex}")
@@ -56,7 +69,7 @@ def materialise(df, name="table"):
 
     For tables read by several later jobs: the lineage ends at reliable storage, so a lost executor
     costs a file read instead of the whole history, later readers take only the columns they need, and
-    the planner knows the table's size. The files are the caller's to remove with the folder.
+    the planner knows the table's size. ``release`` removes the files.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -1,10 +1,11 @@
 """Readers and writers."""
 
 from .basket_files import read_baskets, write_baskets
-from .delimited import DATASET, load_dataset, null_tokens, read_delimited, write_delimited
+from .delimited import DATASET, invalid_counts, load_dataset, null_tokens, read_delimited, write_delimited
 
 __all__ = [
     "DATASET",
+    "invalid_counts",
     "load_dataset",
     "null_tokens",
     "read_baskets",

@@ -10,7 +10,8 @@ def write_baskets(df, path, sep=","):
 
 
 def read_baskets(spark, path, sep=","):
-    """Baskets with an id and their distinct items."""
+    """Baskets with an id and their distinct items; an empty line is a basket without items."""
     items = F.array_sort(F.array_distinct(F.split("value", f"\\Q{sep}\\E")))
-    lines = spark.read.text(path).filter(F.length("value") > 0)
+    items = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(items)
+    lines = spark.read.text(path)
     return lines.select(F.monotonically_increasing_id().alias("basket"), items.alias("items"))

@@ -9,7 +9,7 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tickets(spark, folder, since=None, until=None, article="l_partkey"):
+def tickets(spark, folder, article="l_partkey"):
     """Ticket lines: each order is a ticket, each order line an article sold or returned.
 
     ``article`` may name a part attribute, such as ``p_type``; then the part table is joined.

@@ -76,13 +76,14 @@ def test_baskets_are_sets_per_customer_and_moment(spark):
     )
     b = bk.baskets(t)
     assert sorted((r[C.CUSTOMER], r["items"]) for r in b.collect()) == [("c1", ["x", "y"]), ("c1", ["z"]), ("c2", [])]
-    assert bk.basket_lines(t).count() == 3
+    assert bk.basket_lines(t).count() == 4  # the basket without articles keeps a row
+    assert bk.frequent_items(bk.basket_lines(t))[1] == 3
 
 
 def test_frequencies_and_summary(spark):
-    b = frame(spark, BASKETS)
+    b = lines(spark, BASKETS)
     assert [tuple(r) for r in bk.item_frequency(b, 2).collect()] == [("a", 6), ("b", 6)]
-    got = {(r["section"], r["name"]): r["value"] for r in bk.basket_summary(b).collect()}
+    got = {(r["section"], r["name"]): r["value"] for r in bk.basket_summary(b, ["basket"]).collect()}
     assert got["total", "baskets"] == 8 and got["total", "items"] == 4
     assert got["total", "density"] == pytest.approx(19 / 32)
     assert got["size", "1"] == 2 and got["size", "4"] == 1 and got["size quantile", "median"] == 2.5
@@ -143,4 +144,34 @@ def test_files_hold_items_only(spark, tmp_path):
 def test_repeated_items_in_a_file(spark, tmp_path):
     path = str(tmp_path / "r")
     spark.createDataFrame([("b,a,b",), ("",)], "value string").write.text(path)
-    assert [r["items"] for r in read_baskets(spark, path).collect()] == [["a", "b"]]
+    assert sorted(r["items"] for r in read_baskets(spark, path).collect()) == [[], ["a", "b"]]
+
+
+def test_baskets_without_items_count_alike(spark, tmp_path):
+    day = "2019-01-01"
+    t = tickets(
+        spark,
+        [("c1", "t1", "x", day, 1, 1, 0), ("c1", "t1", "y", day, 1, 1, 0), ("c2", "t2", "x", day, 1, 1, 0)]
+        + [("c2", "t2", "y", day, 1, 1, 0), ("c3", "t3", None, day, 1, 1, 0)],
+    )
+    by_lines = as_dict(rl.rules_of_lines(bk.basket_lines(t)))
+    assert by_lines[("x",), ("y",)] == pytest.approx((2 / 3, 1.0, 1.5))
+    close(as_dict(rl.rules(bk.baskets(t))), by_lines)
+    close(as_dict(rl.pair_rules(bk.basket_lines(t))), by_lines)
+    write_baskets(bk.baskets(t), str(tmp_path / "f"))
+    close(as_dict(rl.rules(read_baskets(spark, str(tmp_path / "f")))), by_lines)
+
+
+def test_article_lists_keep_repeats(spark):
+    day = "2019-01-01"
+    t = tickets(spark, [("c1", "t1", a, day, 1, 1, 0) for a in ("y", "x", "y", None)] + [("c2", "t2", None, day, 1, 1, 0)])
+    assert sorted((r[C.CUSTOMER], r["items"]) for r in bk.article_lists(t).collect()) == [("c1", "x,y,y"), ("c2", "")]
+
+
+@pytest.mark.parametrize("max_len", [1, 2, 3, 4])
+def test_mining_by_levels(spark, max_len):
+    baskets = [*random_baskets(6), *[list("abcd")] * 20]
+    sets, total = bk.itemsets(frame(spark, baskets), 0.03, max_len)
+    assert total == len(baskets)
+    got = {tuple(r["items"]): r["freq"] for r in sets.collect()}
+    assert got == {s: n for s, n in brute_sets(baskets, 0.03).items() if len(s) <= max_len}

@@ -8,6 +8,7 @@ from conftest import SMALL
 
 import __spark_entry__ as entry
 from catalogue import params as P
+from catalogue.oracle import ORACLE
 from catalogue.queries import QUERIES, lines_of
 from retailspark import columns as C
 from retailspark.operators import filters as flt
@@ -28,10 +29,10 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, SMALL)
-    cursor = con.execute(entry.oracle_sql()[name])
+    cursor = con.execute(ORACLE[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(columns, cursor.fetchall())
@@ -45,14 +46,14 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-WHOLE_PLANS = [
-    "in_window", "latest_rows", "restrict_to", "assemble", "flag_members", "enrich_via", "quantiles", "profile",
-    "distribution", "repurchase_curve", "rfm_segments", "rfm_scores", "rfm_raster", "churn_dataset", "stratified_split",
-    "hashed_split", "pair_rules", "association_rules", "redundant_rules",
+#: Their results are rows made of a fitted model or a few numbers.
+SMALL_RESULTS = [
+    "tree_rules", "tree_importances", "tree_complexity", "logistic_coefficients", "logistic_summary",
+    "logistic_null_deviance", "logistic_resampled", "basket_totals_with_gaps",
 ]
 
 
-@pytest.mark.parametrize("name", WHOLE_PLANS)
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SMALL_RESULTS)))
 def test_plans_have_no_cross_join_and_no_python(spark, folder, name):
     text = plan(QUERIES[name](spark, folder))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "MapInPandas", "FlatMapGroups", "BatchEvalPython"):
@@ -74,3 +75,14 @@ def test_strict_thresholds_on_brands(spark, folder):
 
 def test_sql_belongs_to_registered_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_baskets_are_counted_in_long_form(spark, folder):
+    for name in ("basket_summary", "item_frequency"):
+        assert "collect_set" not in plan(QUERIES[name](spark, folder))
+
+
+def test_pruning_reads_its_rules_once(spark, folder):
+    lines = lines_of(spark, folder, "p_brand")
+    text = plan(rl.prune(rl.rules_of_lines(lines, min_support=0.01, min_confidence=0.1)))
+    assert "lineitem" not in text and "orders" not in text

@@ -117,3 +117,28 @@ def test_coefficient_table(spark):
     depths = ch.tree_complexity(train, encoder, depths=(1, 3)).collect()
     assert [r["max_depth"] for r in depths] == [1, 3] and all(0.4 < r["accuracy"] <= 1 for r in depths)
     assert 0.4 < ch.resampled_accuracy(train, folds=2).first()["accuracy"] <= 1
+
+
+def test_a_category_with_one_level(spark, planted):
+    one = planted.withColumn(C.CARD, F.lit("ONLY"))
+    encoder, train, test = ch.training_tables(one)
+    assert not any(t.startswith(C.CARD) for t in ch.term_names(encoder))
+    assert len(train.first()["features"]) == len(ch.term_names(encoder))
+    for model in (ch.decision_tree(train, encoder), ch.logistic_regression(train)):
+        assert ch.predict(model, test).count() == test.count()
+    none = one.withColumns({C.REGION: F.lit("R"), C.JOB_CLEAN: F.lit("J")})
+    encoder, rows_ = ch.encode(none)
+    assert len(rows_.first()["features"]) == 3 and ch.term_names(encoder) == list(ch.NUMERIC)
+
+
+def test_too_many_levels_raise(spark, planted):
+    with pytest.raises(ValueError, match="levels"):
+        ch.encode(planted.withColumn(C.CARD, F.col(C.CUSTOMER).cast("string")), most_levels=100)
+
+
+def test_leaves_and_fitted_totals(spark, planted):
+    encoder, train, _ = ch.training_tables(planted)
+    leaves = ch.leaf_shares(ch.decision_tree(train, encoder), train).collect()
+    assert len(leaves) > 1 and all(x.probability == pytest.approx(x.positives / x.n) for x in leaves)
+    summary = ch.logistic_summary(train).first()
+    assert summary.null_deviance >= summary.residual_deviance and summary.null_df == train.count() - 1

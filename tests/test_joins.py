@@ -29,17 +29,6 @@ def test_enrich_via(spark):
     assert rows(got) == [(1, "j1", "North"), (2, "j2", None), (3, None, None)]
 
 
-def test_small_side_is_broadcast_only_when_counted_small(spark):
-    big = spark.range(50)
-    left = spark.range(10)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        assert "BroadcastHashJoin" in plan(left.join(jn.small_side(big, 50), "id"))
-        assert "BroadcastHashJoin" not in plan(left.join(jn.small_side(big, 49), "id"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -80,3 +69,19 @@ def test_hot_keys_are_split(spark):
         for key in SKEW:
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_text_keys_are_hashed_not_sorted(spark):
+    """Identifiers of the data model are texts; no aggregate over them may need a sort."""
+    people = frame(spark, [("1", "x"), ("2", "y")], "ID_CLI string, REGION string")
+    seen = frame(spark, [("1",), ("1",)], "ID_CLI string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for joined in (
+            jn.restrict_to(people, seen),
+            jn.flag_members(people, seen),
+            jn.enrich(people, people.withColumnRenamed("REGION", "R"), "ID_CLI", ["R"]),
+        ):
+            assert "SortAggregate" not in plan(joined)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
