@@ -54,8 +54,10 @@ def _parsed(schema):
 
 
 def _reader(spark, sep, multi_line, strict):
-    """Quotes are doubled inside quotes, as R and most exporters write them."""
-    options = {"sep": sep, "header": True, "quote": '"', "escape": '"', "emptyValue": "", "multiLine": multi_line}
+    """Quotes are doubled inside quotes, as R and most exporters write them. A field with nothing in it is null, a
+    quoted empty one is the empty text: no text stands for null."""
+    options = {"sep": sep, "header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
+    options |= {"nullValue": "\0", "emptyValue": ""}
     # pruned columns are not split, so a record of the wrong width would pass unseen
     options |= {"mode": "FAILFAST" if strict else "PERMISSIVE", "columnPruning": not strict}
     return spark.read.options(**options)

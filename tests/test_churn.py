@@ -55,7 +55,12 @@ def test_dataset_drops_incomplete_rows(spark):
 
 
 @pytest.fixture(scope="module")
-def planted(spark):
+def planted(planted_rows):
+    return ch.training_tables(planted_rows)
+
+
+@pytest.fixture(scope="module")
+def planted_rows(spark):
     """Churn exactly when the last purchase is more than 50 days ago."""
     df = spark.range(600).select(
         F.col("id").alias(C.CUSTOMER),
@@ -67,7 +72,7 @@ def planted(spark):
         F.lit("STANDARD").alias("_"),
     )
     df = df.withColumn(C.CARD, F.when(F.col(C.CUSTOMER) % 7 == 0, "GOLD").otherwise("STANDARD")).drop("_")
-    return ch.training_tables(df.withColumn(C.CHURN, (F.col(C.RECENCY) > 50).cast("int")))
+    return df.withColumn(C.CHURN, (F.col(C.RECENCY) > 50).cast("int"))
 
 
 def accuracy(pred):
@@ -119,8 +124,8 @@ def test_coefficient_table(spark):
     assert 0.4 < ch.resampled_accuracy(train, folds=2).first()["accuracy"] <= 1
 
 
-def test_a_category_with_one_level(spark, planted):
-    one = planted.withColumn(C.CARD, F.lit("ONLY"))
+def test_a_category_with_one_level(planted_rows):
+    one = planted_rows.withColumn(C.CARD, F.lit("ONLY"))
     encoder, train, test = ch.training_tables(one)
     assert not any(t.startswith(C.CARD) for t in ch.term_names(encoder))
     assert len(train.first()["features"]) == len(ch.term_names(encoder))
@@ -131,13 +136,13 @@ def test_a_category_with_one_level(spark, planted):
     assert len(rows_.first()["features"]) == 3 and ch.term_names(encoder) == list(ch.NUMERIC)
 
 
-def test_too_many_levels_raise(spark, planted):
+def test_too_many_levels_raise(planted_rows):
     with pytest.raises(ValueError, match="levels"):
-        ch.encode(planted.withColumn(C.CARD, F.col(C.CUSTOMER).cast("string")), most_levels=100)
+        ch.encode(planted_rows.withColumn(C.CARD, F.col(C.CUSTOMER).cast("string")), most_levels=100)
 
 
-def test_leaves_and_fitted_totals(spark, planted):
-    encoder, train, _ = ch.training_tables(planted)
+def test_leaves_and_fitted_totals(planted):
+    encoder, train, _ = planted
     leaves = ch.leaf_shares(ch.decision_tree(train, encoder), train).collect()
     assert len(leaves) > 1 and all(x.probability == pytest.approx(x.positives / x.n) for x in leaves)
     summary = ch.logistic_summary(train).first()
