@@ -7,8 +7,9 @@ and the common ones are skipped. Documents that meet are compared on their full
 
 Members of a large group of near copies are not compared pair by pair. In each round every document is compared with
 the one leader it meets under most tokens, and those found linked are merged; documents of one component skip each
-other from then on. When few pairs of different components are left, or a round links nothing, all that are left are
-compared, so no link between components is lost.
+other from then on. When few pairs of different components are left, or a round links hardly any, all that are left are
+compared, so no link between components is lost. Rounds look at all shared tokens, because the members of a group meet
+one leader under the common ones; the last comparison needs the rare ones only.
 """
 
 import random
@@ -28,7 +29,9 @@ COORDINATES, MATCHES = 64, 30
 #: Words of a shingle.
 SHINGLE = 5
 #: Pairs of different components, per posting, that may be left for the last comparison.
-LEFT_PER_POSTING = 4
+LEFT_PER_POSTING = 8
+#: Rounds go on while they link at least one in so many documents.
+LEAST_LINKED = 500
 
 _draw = np.random.default_rng(20_24)
 _TIMES = _draw.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,11 +95,12 @@ def _postings(sets):
     return sets.select("id", "n", "signature").mapInArrow(post, "token long, id long, n long")
 
 
-def _prefixes(sets):
-    """Postings of each set under its rarest tokens: all pairs that agree in MATCHES tokens meet under one at least.
+def _shared(sets):
+    """Postings of each set under the tokens that it shares, and whether they belong to its prefix, the rarest ones: all
+    pairs that agree in MATCHES tokens meet under one of these at least.
 
-    Tokens of one document only come first in that order and lead nowhere, so what is posted are the rarest of the
-    shared ones, and nothing of a document that shares fewer than MATCHES.
+    Tokens of one document only come first in that order and lead nowhere, so the prefix is taken from the shared ones,
+    and nothing is posted of a document that shares fewer than MATCHES.
     """
     postings = _postings(sets)
     shared = postings.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
@@ -106,8 +110,8 @@ def _prefixes(sets):
         .groupBy("id", "n")
         .agg(tokens.alias("tokens"))
         .where(F.size("tokens") >= MATCHES)
-        .select("id", "n", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - MATCHES + 1)).alias("t"))
-        .select("t.token", "id", "n")
+        .select("id", "n", F.size("tokens").alias("of"), F.posexplode("tokens").alias("place", "t"))
+        .select("t.token", "id", "n", (F.col("place") <= F.col("of") - MATCHES).alias("rare"))
     )
 
 
@@ -234,8 +238,8 @@ def near_duplicates(docs, similarity=75):
 
 def _labels(docs, sets, links, similarity):
     """Rows (id, root) of the classes that are not the least of their component."""
-    posted = written(_prefixes(sets), "postings")
-    size = posted.count()
+    posted = written(_shared(sets), "postings")
+    size = posted.where("rare").count()
     found = written(components(links), "labels")
     if not size:
         return found
@@ -250,24 +254,23 @@ def _labels(docs, sets, links, similarity):
     wanted = posted.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
     full = written(texts.mapInArrow(shingle, "id long, set binary"), "shingle-sets")
-    draw = random.Random(8)
+    documents, linked, draw = full.count(), float("inf"), random.Random(8)
     while True:
-        labelled = posted.join(found, "id", "left").select("id", "token", "n", F.coalesce("root", "id").alias("label"))
-        labelled = written(labelled, "labelled")
-        left = _left(labelled)
+        label = F.coalesce("root", "id").alias("label")
+        labelled = written(posted.join(found, "id", "left").select("id", "token", "n", label, "rare"), "labelled")
+        rare = labelled.where("rare").drop("rare")
+        left = _left(rare)
         if not left:
             return found
-        last = left <= LEFT_PER_POSTING * size
+        last = left <= LEFT_PER_POSTING * size or linked * LEAST_LINKED < documents
         if last:
-            pairs = _agreeing(_pairs_left(labelled, similarity), sets)
+            pairs = _agreeing(_pairs_left(rare, similarity), sets)
         else:
             pairs = _best(_by_leader(labelled, draw.getrandbits(62)), similarity)
         new = written(_confirmed(pairs, full, similarity), "links")
         if last:
             return _merged(found, new)
-        if new.isEmpty():
-            new = written(_confirmed(_agreeing(_pairs_left(labelled, similarity), sets), full, similarity), "links")
-            return _merged(found, new)
+        linked = new.count()
         found = _merged(found, new)
 
 
