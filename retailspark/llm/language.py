@@ -168,20 +168,21 @@ class Reader:
         """Class probabilities of each text; a row of zeros where there is no letter."""
         out = np.zeros((len(batch), len(self.network.classes)))
         split = [text.lower().split() for text in batch]
-        at = 0
+        at, alone = 0, False
         while at < len(split):  # as many texts at a time as have room for their new words
             new, end = {}, at
-            while end < len(split) and len(new) < KEPT // 4:
+            while end < len(split) and len(new) < KEPT // 4 and not (alone and end > at):
                 new.update(dict.fromkeys(w for w in split[end] if w not in self.known))
                 end += 1
             fresh, whole = list(new), True
             for i in range(0, len(fresh), KEPT // 4):
                 whole &= self._learn(fresh[i : i + KEPT // 4])
-            if not whole and end - at > 1 or not whole and len(fresh) <= KEPT // 4:
-                continue  # forgot everything: gather the words again
+            if not whole and (end - at > 1 or len(fresh) <= KEPT // 4):
+                alone = True  # forgot everything: gather the words of one text again, since no group of it may fit
+                continue
             for i in range(at, end):
                 out[i] = self._pool(split[i])
-            at = end
+            at, alone = end, False
         return out
 
     def _pool(self, words):

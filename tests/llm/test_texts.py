@@ -150,6 +150,23 @@ def test_reader_forgets_and_still_agrees(monkeypatch):
     assert np.allclose(language.Reader(network).read(texts), want)
 
 
+def test_reader_ends_with_more_words_than_it_keeps(monkeypatch):
+    network = language.Network(["a", "b"])
+    large = [" ".join(f"word{i}y{j}" for j in range(n)) for i, n in enumerate((60, 200))]
+    texts = ["few words", large[0], "word0y3 few", "", large[1], large[0], "words"]
+    want = language.Reader(network).read(texts)
+    monkeypatch.setattr(language, "KEPT", 48)
+    learn, calls = language.Reader._learn, []
+
+    def counted(self, words):
+        calls.append(len(words))
+        assert len(calls) < 500, "no end"
+        return learn(self, words)
+
+    monkeypatch.setattr(language.Reader, "_learn", counted)
+    assert np.allclose(language.Reader(network).read(texts), want)
+
+
 def test_decontamination_counts(spark):
     docs = make()
     long = [t for _, t in docs if t and len(t.split()) > 60][:3]
