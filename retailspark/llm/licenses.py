@@ -68,8 +68,32 @@ SPELLINGS = [
     (r"&", " and "),
 ]
 
-#: Lines that only name a holder.
+#: Lines that only name a holder, as the SQL reads them: it has no lookaround and takes all lines that begin so.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$|(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+#: What makes a line name a holder: a sign, a year or its placeholder, or little more than a name. Licence texts have
+#: lines that begin with the same words; what follows the word in those does not begin a name.
+_YEAR = r"[\[<{(]?(?:(?:19|20)[0-9]{2}\b|(?:years?|yyyy|dates?)[\]>})])"
+_NO_NAME = (
+    r"(?![ \t]*(?:[,.;)\-]|(?:notices?|holders?|owners?|licen[cs]e[sd]?|laws?|and|or|in|is|as|to|on|of|for|if|its?|any|all"
+    r"|an?|no|such|you|your|under|with|that|this|statements?|treat(?:y|ies)|interests?|permissions?|claims?|protection"
+    r"|infringement|disclaimer|material|rights?|the (?:software|program|work|library|licen[cs]e))\b))"
+)
+_HOLDER = (
+    r"(?:©|(?:copyright[ \t:]*)?\(c\)[ \t:]*(?:copyright\b|by\b|" + _YEAR + r")"
+    r"|copyright[ \t:]*(?:©|\(c\)|by\b|" + _YEAR + r")"
+    r"|copyright\b" + _NO_NAME + r"(?=[^\n]{0,80}\b(?:19|20)[0-9]{2}\b|(?:[ \t:]+[^ \t\n]+){1,6}[ \t]*$)"
+    r"|\(c\)" + _NO_NAME + r"(?=(?:[ \t]+[^ \t\n]+){1,4}[ \t]*$))"
+)
+#: Where licence text goes on in the line of a holder: a sentence with a word of licences, or a usual beginning.
+_GOES_ON = (
+    r"(?<=[.!?;])[ \t]+[^.!?;\n]*\b(?:licen[cs]|permission|redistribut|spdx)"
+    r"|[ \t]+(?:permission is hereby granted|permission to use|redistribution and use|(?:licen[cs]ed|released|distributed)"
+    r" under|this software is provided|this program is free software|spdx-licen[cs]e)"
+)
+#: What only names a holder.
+HOLDER_LINE = (
+    r"(?m)^[^a-z0-9\n]*" + _HOLDER + r"[^\n]*?(?=$|" + _GOES_ON + r")|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+)
 #: Words by which a line is taken for a notice.
 NOTICE = r"licen[cs]e"
 
@@ -79,9 +103,12 @@ def _replaced(value, pattern, by):
 
 
 def canonical(value):
-    """A text without case, copyright lines, spelling variants and punctuation."""
+    """A text without case, copyright lines, spelling variants and punctuation.
+
+    A line that begins with its copyright note and goes on with licence text loses the note only.
+    """
     value = F.regexp_replace(F.lower(value), r"\r\n?", "\n")
-    value = F.regexp_replace(value, COPYRIGHT_LINE, " ")
+    value = F.regexp_replace(value, HOLDER_LINE, " ")
     for pattern, by in SPELLINGS:
         value = _replaced(value, pattern, by)
     return F.trim(F.regexp_replace(value, r"[\x00-\x2F\x3A-\x60\x7B-\x7F‘’“”–—]+", " "))

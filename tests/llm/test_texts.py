@@ -229,6 +229,29 @@ def test_license_spellings(spark):
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, own.limit(0)).count() == 14
 
 
+def licences_of(spark, texts):
+    docs = frame(spark, [(i, t, "en", "s", 1, "k", "x", "y") for i, t in enumerate(texts)])
+    return {r.doc_id: (r.license, r.n_notices, r.notices) for r in licenses.scan(docs).collect()}
+
+
+def test_only_holders_are_deleted(spark):
+    isc, mit = (dict(licenses.NOTICES[-2:])[name] for name in ("ISC", "MIT"))
+    head, tail = isc.split("copyright notice", 1)
+    texts = [
+        "\nCopyright (c) 2004, Somebody\n\n" + head + "\ncopyright notice" + tail,
+        "Copyright (c) 2020 Foo. Licensed under the MIT License.",
+        "Copyright (c) 2020 Foo, Inc. All rights reserved. " + mit,
+        "Copyright 2020 John Smith " + isc,
+    ]
+    got = licences_of(spark, texts)
+    assert [got[i][0] for i in range(4)] == ["ISC", "MIT", "MIT", "ISC"] and got[1] == ("MIT", 1, "MIT")
+    gone = ["Copyright 2020 Foo", "# (c) Foo Bar", "© Foo", "Copyright: Foo Inc., 2019", "Copyright The Foo Authors", "(C) Copyright [year] X", "Copyright (c) <year> <name>"]
+    stay = ["copyright notice and this permission", "Copyright holders be liable", "(c) You must retain, in the Source form", "copyright license to reproduce", "Copyright treaty adopted on 20 December 1996", "copyright, patent"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(gone + stay)], "i int, text string")
+    left = {r.i for r in table.where(licenses.canonical(table.text) != "").collect()}
+    assert left == set(range(len(gone), len(gone + stay)))
+
+
 def test_quality_shrinks_sparse_sites(spark):
     draw = random.Random(3)
     good = " ".join(f"word{i} and" for i in range(40)) + ". End of it."
