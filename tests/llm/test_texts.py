@@ -1,5 +1,6 @@
 """Licences, packing, languages, token counts, quality and decontamination."""
 
+import os
 import random
 import zlib
 from array import array
@@ -252,6 +253,24 @@ def test_only_holders_are_deleted(spark):
     assert left == set(range(len(gone), len(gone + stay)))
 
 
+def test_whole_licences_and_notices_are_known(spark):
+    note, want = "Copyright (c) 2020, Somebody\n\n", {}
+    for name, (titles, bodies) in licenses.WHOLE.items():
+        want[f"{titles[0]}\n\n{note}{bodies[0]}\n"] = want[note + bodies[0]] = name
+    want["Licensed under the GNU General Public License, version 3."] = "GPL-3.0-only"
+    want["This program is licensed under the terms of the GNU GPL v3 or later"] = "GPL-3.0-or-later"
+    want["Released under the BSD 2-Clause License"] = "BSD-2-Clause"
+    want["Distributed under the Creative Commons Attribution-ShareAlike 4.0 International License"] = "CC-BY-SA-4.0"
+    want["This project is not licensed under the MIT License."] = None
+    folder = "/usr/share/common-licenses"
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{folder}/{file}"):
+            with open(f"{folder}/{file}", encoding="utf-8") as f:
+                want[f.read()] = name
+    got = licences_of(spark, list(want))
+    assert [got[i][0] for i in range(len(want))] == list(want.values())
+
+
 def test_quality_shrinks_sparse_sites(spark):
     draw = random.Random(3)
     good = " ".join(f"word{i} and" for i in range(40)) + ". End of it."
