@@ -6,9 +6,9 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from retailspark.session import build_session  # noqa: E402
+from tables import SMALL  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
+from retailspark.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -32,8 +32,3 @@ def folder():
     if not os.path.isdir(SMALL):
         pytest.skip("no test data")
     return SMALL
-
-
-def rows(df, *by):
-    """Rows as tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

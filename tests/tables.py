@@ -1,10 +1,12 @@
-"""Hand-made ticket lines."""
+"""Hand-made ticket lines, and what the tests share."""
 
 import datetime as dt
 from decimal import Decimal
 
 from retailspark import columns as C
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def day(text):
     return dt.date.fromisoformat(text)
@@ -26,3 +28,8 @@ def tickets(spark, lines):
         for c, t, a, d, direction, gross, discount in lines
     ]
     return spark.createDataFrame(data, C.TICKET_SCHEMA)
+
+
+def rows(df, *by):
+    """Rows as tuples, sorted."""
+    return sorted((tuple(r) for r in df.collect()), key=repr)

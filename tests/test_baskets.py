@@ -2,8 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
-from conftest import rows
-from tables import tickets
+from tables import rows, tickets
 
 from retailspark import columns as C
 from retailspark.operators import baskets as bk

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import rows
+from tables import rows
 
 from retailspark.operators import bayes as nb
 from retailspark.operators import evaluation as ev

@@ -4,7 +4,7 @@ import glob
 import os
 
 import pytest
-from conftest import SMALL
+from tables import SMALL
 
 import __spark_entry__ as entry
 from catalogue import params as P

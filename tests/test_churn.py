@@ -1,7 +1,6 @@
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
-from tables import tickets
+from tables import rows, tickets
 
 from retailspark import columns as C
 from retailspark.operators import evaluation as ev

@@ -1,7 +1,6 @@
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
-from tables import day, tickets
+from tables import day, rows, tickets
 
 from retailspark import columns as C
 from retailspark.functions import days_between, parse_day

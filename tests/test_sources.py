@@ -2,7 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from tables import rows
 
 from retailspark import columns as C
 from retailspark.sources import DATASET, load_dataset, null_tokens, read_delimited, write_delimited
