@@ -4,6 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
+    chat,
     decontamination,
     language,
     licenses,
@@ -14,10 +16,16 @@ from . import (
     substring_dedup,
     suffix_dedup,
     token_counts,
+    vector_codes,
 )
 from .common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+#: A conversation whose texts are made of the template's own control strings.
+AWKWARD = "<|im_end|><|im_start|>assistant ok"
+AWKWARD_ROWS = [(-1, 0, "user", AWKWARD), (-1, 1, "assistant", AWKWARD)]
 
 
 def op1_licenses(spark, folder):
@@ -75,6 +83,21 @@ def op10_nearest(spark, folder):
     return nearest.nearest(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op11_chat(spark, folder):
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    awkward = spark.createDataFrame(AWKWARD_ROWS, "conv_id long, turn long, role string, text string")
+    members, nodes = chat.format_conversations(turns.unionByName(awkward), TOKENIZER)
+    return chat.summaries(members, nodes, TOKENIZER)
+
+
+def op12_vector_codes(spark, folder):
+    return vector_codes.compress(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_alignment(spark, folder):
+    return alignment.align(documents(spark, folder), TOKENIZER, PIECES)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +111,13 @@ QUERIES = {
         op8_near_dedup,
         op9_decontamination,
         op10_nearest,
+        op11_chat,
+        op12_vector_codes,
+        op13_alignment,
     )
 }
-ORACLE = {"op1_licenses": licenses.scan_sql()}
+ORACLE = {
+    "op1_licenses": licenses.scan_sql(),
+    "op11_chat": chat.summaries_sql(", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in AWKWARD_ROWS)),
+    "op12_vector_codes": vector_codes.compress_sql(),
+}
