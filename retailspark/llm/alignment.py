@@ -130,7 +130,7 @@ class Aligner:
         self.size_a, self.size_b = (np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b))
         #: no piece goes on over a blank after another character, so texts may be cut there
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces) and not any(
-            b" " in t.lstrip(b" \t\n\r") for t in self.bytes_a
+            re.search(r"[!-~\w] ", t.decode(errors="ignore")) for t in self.bytes_a
         )
 
     def words(self, text):
