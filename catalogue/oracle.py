@@ -1,5 +1,7 @@
 """The registered queries as plain SQL over the given tables."""
 
+from retailspark.operators.evaluation import poisson_thresholds
+
 from . import params as P
 
 ORACLE = {}
@@ -659,6 +661,19 @@ FROM cm""",
 )
 ORACLE["f1_score"] = with_ctes(*BAYES_ALL, MATRIX, select="SELECT round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM ce")
 
+WEIGHT = " + ".join(f"(u >= {t})::INT" for t in poisson_thresholds())
+ORACLE["bootstrap_accuracy"] = with_ctes(
+    *BAYES_ALL,
+    "dr AS (SELECT rep, label = prediction AS ok, "
+    "('0x' || substr(md5('0-' || rep || '-' || coalesce(CAST(c AS VARCHAR), '')), 1, 8))::BIGINT AS u "
+    "FROM pr, range(25) t(rep))",
+    f"w AS (SELECT rep, ok, {WEIGHT} AS w FROM dr)",
+    select="""
+SELECT CAST(rep AS INT) AS repeat, CAST(sum(w) AS BIGINT) AS n,
+  round(CAST(sum(CASE WHEN ok THEN w ELSE 0 END) AS DOUBLE) / sum(w), 9) AS accuracy
+FROM w GROUP BY rep""",
+)
+
 # --- baskets and rules ------------------------------------------------------------------------
 
 ORACLE["baskets"] = with_ctes(

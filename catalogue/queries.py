@@ -770,6 +770,11 @@ def f1_score(spark, folder):
     return ev.f1(bayes_of(spark, folder)[1]).select(*rounded(9, "f1"))
 
 
+@query
+def bootstrap_accuracy(spark, folder):
+    return ev.bootstrap_accuracy(bayes_of(spark, folder)[1], C.CUSTOMER).select("repeat", "n", *rounded(9, "accuracy"))
+
+
 @query
 def compare_models(spark, folder):
     encoder, train, test = encoded_split(spark, folder)

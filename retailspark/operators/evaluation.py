@@ -1,6 +1,7 @@
 """Confusion counts and quality measures of class predictions."""
 
 from functools import reduce
+from math import exp, factorial
 
 from pyspark.sql import functions as F
 
@@ -72,3 +73,27 @@ def compare_models(predictions, positive="1"):
     ]
     union = reduce(lambda a, b: a.unionByName(b), parts)
     return metrics(union, positive, by=("model",)).select("model", "accuracy", "f1")
+
+
+def poisson_thresholds(most=12):
+    """Numbers below 2**32: one drawn evenly from there has a Poisson(1) count of thresholds not above it."""
+    terms = [exp(-1) / factorial(k) for k in range(most)]
+    return [int(sum(terms[: k + 1]) * 2**32) for k in range(most)]
+
+
+def bootstrap_accuracy(pred, key, repeats=25, seed=0, label="label", prediction="prediction"):
+    """Rows (repeat, n, accuracy): accuracy on ``repeats`` bootstrap samples of given predictions.
+
+    A row's weight in a sample is a Poisson(1) count drawn from the digest of seed, repeat and key, so samples do not
+    depend on the partitioning, and all of them are added up in one pass without copying rows.
+    """
+    right = F.when(F.col(label) == F.col(prediction), 1).otherwise(0)
+    sums = []
+    for i in range(repeats):
+        digest = F.md5(F.concat(F.lit(f"{seed}-{i}-"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+        drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+        weight = reduce(lambda a, b: a + b, [(drawn >= t).cast("long") for t in poisson_thresholds()])
+        sums.append(F.struct(F.lit(i).alias("repeat"), F.sum(weight).alias("n"), F.sum(weight * right).alias("hits")))
+    return pred.agg(F.array(*sums).alias("s")).select(F.inline("s")).select(
+        "repeat", "n", _ratio(F.col("hits"), F.col("n")).alias("accuracy")
+    )
