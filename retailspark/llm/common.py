@@ -25,6 +25,14 @@ def documents(spark, folder):
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def free_name(df, name):
+    """``name``, longer by underscores if a column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(column="text"):
     """Tells rows with one doc_id and different texts apart; the same row repeated has the same key."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

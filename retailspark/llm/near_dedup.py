@@ -5,21 +5,24 @@ coordinate with its value is a token under which the document is posted. Two doc
 agree in ``MATCHES`` tokens at least; so each posts only its rarest tokens, one more than may be missing (the prefix),
 and the common ones are skipped. Documents that meet are compared on their full sets.
 
-Members of a large group of near copies are not compared pair by pair. In each round every document is compared with
-the one leader it meets under most tokens, and those found linked are merged; documents of one component skip each
-other from then on. When few pairs of different components are left, or a round links hardly any, all that are left are
-compared, so no link between components is lost. Rounds look at all shared tokens, because the members of a group meet
-one leader under the common ones; the last comparison needs the rare ones only.
+No large group is written out as pairs. A document's home is one of the most common tokens of its prefix, and the
+documents of a home are dealt into blocks of bounded size. Near copies mostly have one home, so few pairs of blocks hold
+all their pairs. A task gets a pair of blocks, each document once, counts agreeing coordinates as a matrix, compares the
+sets of those pairs that agree often enough and are not linked yet, and puts out only links that merge. Each block first
+meets itself and the first block of its home, which joins a group of true copies at linear cost. Then all blocks meet
+that have documents of different components under one token of their prefixes; where two blocks have fewer such meetings
+than documents, the meetings are compared one by one instead.
+
+A pair whose similarity is exactly 0.75 agrees in fewer than ``MATCHES`` coordinates, and is missed, with a probability
+below one in a million; more similar pairs far more rarely. All else is exact, up to equal 64-bit hashes of shingles.
 """
 
-import random
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from .common import Rolling, bounded_batches, utf8
+from .common import Rolling, bounded_batches, free_name, utf8
 from .components import components
 from .repeats import WordCodes, written
 
@@ -28,10 +31,10 @@ from .repeats import WordCodes, written
 COORDINATES, MATCHES = 64, 30
 #: Words of a shingle.
 SHINGLE = 5
-#: Pairs of different components, per posting, that may be left for the last comparison.
-LEFT_PER_POSTING = 8
-#: Rounds go on while they link at least one in so many documents.
-LEAST_LINKED = 500
+#: Documents and shingles of a block.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 20
+#: Documents of one block whose coordinates are compared with another block at a time.
+STRIPE = 256
 
 _draw = np.random.default_rng(20_24)
 _TIMES = _draw.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,23 +98,36 @@ def _postings(sets):
     return sets.select("id", "n", "signature").mapInArrow(post, "token long, id long, n long")
 
 
-def _shared(sets):
-    """Postings of each set under the tokens that it shares, and whether they belong to its prefix, the rarest ones: all
-    pairs that agree in MATCHES tokens meet under one of these at least.
+def _prefixes(sets):
+    """Prefix and home of each set: all pairs that agree in MATCHES tokens meet under a token of both prefixes.
 
-    Tokens of one document only come first in that order and lead nowhere, so the prefix is taken from the shared ones,
-    and nothing is posted of a document that shares fewer than MATCHES.
+    Tokens of one document only come first in the order of rarity and lead nowhere, so the prefix is taken from the
+    shared ones, and a document that shares fewer than MATCHES has none. The home is drawn by hash among the prefix's
+    tokens that are at least half as frequent as its most frequent one, so near copies mostly draw the same.
     """
     postings = _postings(sets)
     shared = postings.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     tokens = F.array_sort(F.collect_list(F.struct("often", "token")))
-    return (
+    found = (
         postings.join(shared, "token")
         .groupBy("id", "n")
         .agg(tokens.alias("tokens"))
         .where(F.size("tokens") >= MATCHES)
-        .select("id", "n", F.size("tokens").alias("of"), F.posexplode("tokens").alias("place", "t"))
-        .select("t.token", "id", "n", (F.col("place") <= F.col("of") - MATCHES).alias("rare"))
+        .withColumn("rarest", F.slice("tokens", F.lit(1), F.size("tokens") - (MATCHES - 1)))
+    )
+    most = F.element_at("rarest", -1)["often"]
+    common = F.filter("rarest", lambda t: 2 * t["often"] >= most)
+    home = F.array_min(F.transform(common, lambda t: F.struct(F.xxhash64(t["token"]).alias("h"), t["token"])))
+    return found.select("id", "n", F.col("rarest.token").alias("prefix"), home["token"].alias("home"))
+
+
+def _dealt(prefixes):
+    """``prefixes`` with block and first, the first block of the home; a home has as many blocks as its size asks for."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    homes = prefixes.groupBy("home").agg(blocks.alias("blocks"))
+    salt = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    return prefixes.join(homes, "home").select(
+        "id", "n", "prefix", F.xxhash64("home", salt).alias("block"), F.xxhash64("home", F.lit(0).cast("long")).alias("first")
     )
 
 
@@ -155,46 +171,106 @@ def _agreeing(pairs, sets):
     return joined.select("a", "b", "x", "y").mapInArrow(agree, "a long, b long").distinct()
 
 
-def _by_leader(postings, order):
-    """Of each document, the leader of another component that it meets under most tokens."""
-    place = F.col("id").bitwiseXOR(F.lit(order))
-    leaders = postings.groupBy("token").agg(
-        *[
-            pick(c, place).alias(f"{name}_{c}")
-            for name, pick in (("lo", F.min_by), ("hi", F.max_by))
-            for c in ("id", "label", "n")
-        ]
-    )
-    leaders = leaders.where("lo_id <> hi_id")
-    lead = F.when(F.col("label") != F.col("lo_label"), F.struct(F.col("lo_id").alias("id"), F.col("lo_n").alias("n")))
-    lead = lead.when(
-        F.col("label") != F.col("hi_label"), F.struct(F.col("hi_id").alias("id"), F.col("hi_n").alias("n"))
+class _Block:
+    """Documents of one block in a task."""
+
+    def __init__(self, rows):
+        self.ids, self.labels, sets, signatures = map(list, zip(*rows))
+        self.sets = [np.frombuffer(x, np.uint64) for x in sets]
+        self.sizes = np.array([len(x) for x in self.sets])
+        self.signatures = np.frombuffer(b"".join(signatures), "<u4").reshape(-1, COORDINATES)
+
+
+def _merging(one, other, similarity):
+    """Links (a, b) between documents of two blocks, or of one, that join different components."""
+    same = one is other
+    label = np.unique(one.labels if same else one.labels + other.labels, return_inverse=True)[1]
+    labels_there = label if same else label[len(one.ids) :]  # a view, so it follows
+    numbers = None
+    for at in range(0, len(one.ids), STRIPE):
+        stripe = slice(at, min(at + STRIPE, len(one.ids)))
+        agreeing = np.zeros((stripe.stop - at, len(other.ids)), np.uint8)
+        for mine, theirs in zip(one.signatures[stripe].T, np.ascontiguousarray(other.signatures.T)):
+            agreeing += mine[:, None] == theirs
+        small = np.minimum(one.sizes[stripe, None], other.sizes)
+        large = np.maximum(one.sizes[stripe, None], other.sizes)
+        agreeing = (agreeing >= MATCHES) & (100 * small >= similarity * large)
+        for i in range(at, stripe.stop):
+            there = np.flatnonzero(agreeing[i - at] & (labels_there != label[i]))
+            there = there[there > i] if same else there
+            if not len(there):
+                continue
+            if numbers is None:  # shingles as numbers from 0
+                sets = one.sets if same else one.sets + other.sets
+                numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                ends = np.cumsum([len(x) for x in sets])
+                held = np.zeros(numbers.max() + 1, bool)
+                skip = 0 if same else len(one.ids)
+            mine = numbers[ends[i] - one.sizes[i] : ends[i]]
+            held[mine] = True
+            theirs = [numbers[ends[skip + j] - other.sizes[j] : ends[skip + j]] for j in there]
+            starts = np.cumsum([0] + [len(x) for x in theirs[:-1]])
+            both = np.add.reduceat(held[np.concatenate(theirs)].astype(np.int64), starts)
+            held[mine] = False
+            linked = there[100 * both >= similarity * (one.sizes[i] + other.sizes[there] - both)]
+            for j in linked:
+                if labels_there[j] != label[i]:
+                    yield one.ids[i], other.ids[j]
+                    label[label == labels_there[j]] = label[i]
+
+
+def _linked(pairs, members, found, similarity):
+    """Links that merge components of ``found``, of documents in the ``pairs`` (p, q) of blocks."""
+
+    def met(batches):
+        key, held = None, {}
+
+        def links():
+            blocks = [_Block(list(rows.values())) for rows in held.values()]
+            ends = list(_merging(blocks[0], blocks[-1], similarity)) if blocks else []
+            a, b = zip(*ends) if ends else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for p, q, block, id_, label, full, sig in zip(*(c.to_pylist() for c in batch.columns)):
+                if (p, q) != key:
+                    yield links()
+                    key, held = (p, q), {}
+                held.setdefault(block, {})[id_, sig] = (id_, label, full, sig)  # repeated rows once
+        yield links()
+
+    sides = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    rows = (
+        members.join(found, "id", "left")
+        .join(sides, "block")
+        .select("p", "q", "block", "id", F.coalesce("root", "id").alias("label"), "set", "signature")
     )
-    met = postings.join(leaders, "token").select("id", "n", lead.alias("lead")).where("lead is not null")
-    return (
-        met.groupBy("id", "lead.id", "n", "lead.n")
-        .agg(F.count("*").alias("times"))
-        .toDF("a", "b", "n", "m", "times")
+    return rows.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(met, "a long, b long")
+
+
+def _meetings(dealt, found):
+    """Meetings (token, p, q) of blocks under a token that holds documents of different components in them."""
+    label = F.coalesce("root", "id").alias("label")
+    posted = dealt.join(found, "id", "left").select("block", label, F.explode("prefix").alias("token"))
+    under = posted.groupBy("token", "block").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed = under.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("greatest"), F.count("*").alias("k"))
+    under = under.join(mixed.where("k > 1 and least < greatest").select("token"), "token")
+    there = under.toDF("token", "q", "d", "lo_", "hi_")
+    one = (F.col("lo") == F.col("hi")) & (F.col("lo_") == F.col("hi_")) & (F.col("lo") == F.col("lo_"))
+    met = under.join(there, "token").where((F.col("block") < F.col("q")) & ~one)
+    return met.select("token", F.col("block").alias("p"), "q", (F.col("c") * F.col("d")).alias("times"))
+
+
+def _single(meetings, dealt, found, similarity):
+    """Pairs (a, b) of documents of different components behind ``meetings``."""
+    label = F.coalesce("root", "id").alias("label")
+    posted = dealt.join(found, "id", "left").select("id", "n", "block", label, F.explode("prefix").alias("token"))
+    a = posted.select("token", F.col("block").alias("p"), F.col("id").alias("a"), "n", "label")
+    b = posted.select(
+        "token", F.col("block").alias("q"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other")
     )
-
-
-def _best(met, similarity):
-    near = met.where(_close(F.col("n"), F.col("m"), similarity))
-    return near.groupBy("a").agg(F.max_by("b", "times").alias("b"))
-
-
-def _left(postings):
-    """Pairs of different components under common tokens, counted without forming them."""
-    by_label = postings.groupBy("token", "label").agg(F.count("*").cast("double").alias("n"))
-    by_token = by_label.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    return by_token.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0.0
-
-
-def _pairs_left(postings, similarity):
-    a = postings.toDF("id", "token", "n", "label")
-    b = postings.toDF("id_", "token", "n_", "label_")
-    met = a.join(b, "token").where((F.col("label") < F.col("label_")) & _close(F.col("n"), F.col("n_"), similarity))
-    return met.select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct()
+    met = meetings.select("token", "p", "q").join(a, ["token", "p"]).join(b, ["token", "q"])
+    return met.where((F.col("label") != F.col("other")) & _close(F.col("n"), F.col("m"), similarity)).select("a", "b").distinct()
 
 
 def near_duplicates(docs, similarity=75):
@@ -238,40 +314,49 @@ def near_duplicates(docs, similarity=75):
 
 def _labels(docs, sets, links, similarity):
     """Rows (id, root) of the classes that are not the least of their component."""
-    posted = written(_shared(sets), "postings")
-    size = posted.where("rare").count()
+    dealt = written(_dealt(_prefixes(sets)), "blocks")
     found = written(components(links), "labels")
-    if not size:
+    if dealt.isEmpty():
         return found
 
     def shingle(batches):
         shingler = Shingler()
         for batch in batches:
-            hashed = [shingler.set_of(raw).tobytes() for raw in utf8(batch)]
-            columns = [batch.column("id"), pa.array(hashed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "set"])
-
-    wanted = posted.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    full = written(texts.mapInArrow(shingle, "id long, set binary"), "shingle-sets")
-    documents, linked, draw = full.count(), float("inf"), random.Random(8)
-    while True:
-        label = F.coalesce("root", "id").alias("label")
-        labelled = written(posted.join(found, "id", "left").select("id", "token", "n", label, "rare"), "labelled")
-        rare = labelled.where("rare").drop("rare")
-        left = _left(rare)
-        if not left:
-            return found
-        last = left <= LEFT_PER_POSTING * size or linked * LEAST_LINKED < documents
-        if last:
-            pairs = _agreeing(_pairs_left(rare, similarity), sets)
-        else:
-            pairs = _best(_by_leader(labelled, draw.getrandbits(62)), similarity)
-        new = written(_confirmed(pairs, full, similarity), "links")
-        if last:
-            return _merged(found, new)
-        linked = new.count()
-        found = _merged(found, new)
+            found = [shingler.set_of(raw) for raw in utf8(batch)]
+            columns = [batch.column("id"), pa.array([len(x) for x in found], pa.int64())]
+            columns += [pa.array([f(x) for x in found], pa.binary()) for f in (np.ndarray.tobytes, _packed)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "set", "signature"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = texts.join(dealt.select("id").distinct(), "id", "left_semi")
+    full = texts.mapInArrow(shingle, "id long, n long, set binary, signature binary")
+    members = written(full.join(dealt.select("id", "n", "block"), ["id", "n"]), "members")
+
+    sizes = dealt.groupBy("block").agg(F.count("*").alias("rows"), F.min("first").alias("first"))
+    own = sizes.where("rows > 1").select(F.col("block").alias("p"), F.col("block").alias("q"))
+    star = sizes.where("block <> first").select(F.least("block", "first").alias("p"), F.greatest("block", "first").alias("q"))
+    found = _merged(found, written(_linked(own.unionByName(star), members, found, similarity), "links"))
+
+    meetings = written(_meetings(dealt, found).join(star, ["p", "q"], "left_anti"), "meetings")
+    if meetings.isEmpty():
+        return found
+    sizes = sizes.select("block", "rows")
+    pairs = (
+        meetings.groupBy("p", "q")
+        .agg(F.sum("times").alias("times"))
+        .join(sizes.toDF("p", "rows"), "p")
+        .join(sizes.toDF("q", "rows_"), "q")
+        .select("p", "q", (F.col("times") >= F.col("rows") + F.col("rows_")).alias("whole"))
+    )
+    pairs = written(pairs, "block-pairs")
+    found = _merged(found, written(_linked(pairs.where("whole").drop("whole"), members, found, similarity), "links"))
+    rest = meetings.join(pairs.where("not whole"), ["p", "q"], "left_semi")
+    near = written(_agreeing(_single(rest, dealt, found, similarity), members), "pairs")
+    return _merged(found, written(_confirmed(near, members, similarity), "links"))
+
+
+def _packed(hashes):
+    return signature(hashes).tobytes()
 
 
 def _merged(found, links):
@@ -283,7 +368,8 @@ def _merged(found, links):
 def deduplicate(docs, similarity=75):
     """``docs`` with one document of each component, the one with the smallest doc_id; see ``near_duplicates``.
 
-    All columns stay. Repeated rows of a doc_id stay or go together; a null doc_id stays.
+    All columns stay, whatever their names. Repeated rows of a doc_id stay or go together; a null doc_id stays.
     """
-    gone = near_duplicates(docs, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = near_duplicates(docs, similarity).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
 from corpus import DDL, frame, make, near_components, rows
 
+from pyspark.sql import functions as F
+
 from retailspark.llm import near_dedup
 from retailspark.llm.components import components
 
@@ -35,12 +38,51 @@ def test_chains_and_one_large_group(spark):
     assert got == near_components([v[:2] for v in values])
 
 
-def test_rounds_before_the_last_comparison(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "LEFT_PER_POSTING", 0)
+def test_many_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)
+    got = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_duplicates(frame(spark)).collect()}
+    assert got == near_components(make())
+
+
+def test_meetings_between_blocks(spark, monkeypatch):
+    """One document in each block: every pair of different texts is a meeting between blocks, none lies in a block."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1)
     got = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_duplicates(frame(spark)).collect()}
     assert got == near_components(make())
 
 
+def test_columns_with_internal_names(spark):
+    df = frame(spark)
+    for name in ("gone", "id", "token", "block", "GONE_"):
+        df = df.withColumn(name, F.lit(1))
+    kept = near_dedup.deduplicate(df)
+    assert kept.columns == df.columns
+    assert kept.count() == near_dedup.deduplicate(frame(spark)).count()
+
+
+def test_block_against_itself_equals_all_pairs():
+    draw = np.random.default_rng(4)
+    base = np.unique(draw.integers(0, 1 << 62, 80, dtype=np.uint64))
+    sets = []
+    for i in range(120):
+        kept = draw.choice(base, len(base) - draw.integers(0, 25), replace=False)
+        sets.append(np.unique(np.concatenate([kept, draw.integers(0, 1 << 62, draw.integers(0, 12), dtype=np.uint64)])))
+    block = near_dedup._Block([(i, i, x.tobytes(), near_dedup._packed(x)) for i, x in enumerate(sets)])
+    links = list(near_dedup._merging(block, block, 75))
+    root = list(range(len(sets)))
+    for a, b in links:
+        assert root[a] != root[b]
+        root = [root[a] if r == root[b] else r for r in root]
+    want = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and want[a] != want[b]:
+                want = [want[a] if r == want[b] else r for r in want]
+    assert [[x == y for y in root] for x in root] == [[x == y for y in want] for x in want]
+    assert 1 < len(set(want)) < len(sets)
+
+
 def test_deduplicate_keeps_one_of_each(spark):
     kept = near_dedup.deduplicate(frame(spark))
     assert kept.schema == frame(spark).schema
