@@ -314,9 +314,11 @@ def near_duplicates(docs, similarity=75):
 
 def _labels(docs, sets, links, similarity):
     """Rows (id, root) of the classes that are not the least of their component."""
-    dealt = written(_dealt(_prefixes(sets)), "blocks")
+    dealt = written(_dealt(_prefixes(sets)), "prefixes")
+    # short rows of their own: while they are few, Spark knows it and broadcasts them rather than shuffle texts
+    blocks = written(dealt.drop("prefix"), "blocks")
     found = written(components(links), "labels")
-    if dealt.isEmpty():
+    if blocks.isEmpty():
         return found
 
     def shingle(batches):
@@ -328,11 +330,11 @@ def _labels(docs, sets, links, similarity):
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "set", "signature"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = texts.join(dealt.select("id").distinct(), "id", "left_semi")
+    texts = texts.join(blocks.select("id"), "id", "left_semi")
     full = texts.mapInArrow(shingle, "id long, n long, set binary, signature binary")
-    members = written(full.join(dealt.select("id", "n", "block"), ["id", "n"]), "members")
+    members = written(full.join(blocks.select("id", "n", "block"), ["id", "n"]), "members")
 
-    sizes = dealt.groupBy("block").agg(F.count("*").alias("rows"), F.min("first").alias("first"))
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("rows"), F.min("first").alias("first"))
     own = sizes.where("rows > 1").select(F.col("block").alias("p"), F.col("block").alias("q"))
     star = sizes.where("block <> first").select(F.least("block", "first").alias("p"), F.greatest("block", "first").alias("q"))
     found = _merged(found, written(_linked(own.unionByName(star), members, found, similarity), "links"))
