@@ -532,6 +532,61 @@ ORACLE["tree_leaf_shares"] = with_ctes(
 SELECT count(*) AS n, CAST(sum(churn) AS BIGINT) AS positives, CAST(sum(churn) AS DOUBLE) AS fitted, 0 AS leaves_off
 FROM tr""",
 )
+WEIGHT = " + ".join(f"(u >= {t})::INT" for t in poisson_thresholds())
+_numeric = (("RECENCY", "r"), ("SPESA", "s"), ("TOT_PURCHASE", "p"))
+ORACLE["split_gains"] = with_ctes(
+    *CHURN_ALL,
+    SPLIT,
+    TRAIN,
+    "v AS ("
+    + " UNION ALL ".join(
+        [f"SELECT '{name}' AS predictor, CAST({col} AS DOUBLE) AS x, NULL AS level, churn AS y FROM tr" for name, col in _numeric]
+        + [f"SELECT '{name}', NULL, {col}, churn FROM tr" for name, col in _categories]
+    )
+    + ")",
+    "e AS (SELECT predictor, min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 256 AS w FROM v GROUP BY predictor)",
+    """b AS (
+  SELECT predictor, level, lo, w, count(*) AS n, sum(y) AS k,
+    CASE WHEN x IS NOT NULL THEN least(255, CAST(floor((x - lo) / w) AS BIGINT)) END AS bin
+  FROM v JOIN e USING (predictor) WHERE x IS NULL OR lo < hi GROUP BY ALL)""",
+    """c AS (
+  SELECT predictor, lo + w * (bin + 1) AS below, row_number() OVER o AS left_bins,
+    CAST(sum(n) OVER o AS DOUBLE) AS ln, CAST(sum(k) OVER o AS DOUBLE) AS lk,
+    CAST(sum(n) OVER a AS DOUBLE) AS n, CAST(sum(k) OVER a AS DOUBLE) AS k
+  FROM b WINDOW a AS (PARTITION BY predictor), o AS (PARTITION BY predictor
+    ORDER BY bin, CASE WHEN bin IS NULL THEN CAST(k AS DOUBLE) / n END, level
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+    """g AS (
+  SELECT *, round(2 * (k / n) * (1 - k / n) - ln / n * (2 * (lk / ln) * (1 - lk / ln))
+    - (n - ln) / n * (2 * ((k - lk) / (n - ln)) * (1 - (k - lk) / (n - ln))), 9) AS gain
+  FROM c WHERE ln < n)""",
+    select="""
+SELECT predictor, gain, left_bins, CAST(ln AS BIGINT) AS left_rows, CAST(lk AS BIGINT) AS left_positives,
+  round(below, 6) AS below
+FROM g QUALIFY row_number() OVER (PARTITION BY predictor ORDER BY gain DESC, left_bins) = 1""",
+)
+ORACLE["tree_pruning_ends"] = with_ctes(
+    *CHURN_ALL,
+    SPLIT,
+    "k AS (SELECT CAST(sum(churn) > count(*) - sum(churn) AS INT) AS class FROM sp WHERE is_train = 1)",
+    select="""
+SELECT CAST(1 AS INT) AS leaves, count(*) FILTER (is_train = 1 AND churn <> class) AS train_errors,
+  count(*) FILTER (is_train = 0 AND churn <> class) AS test_errors, count(*) FILTER (is_train = 1) AS train_rows,
+  count(*) FILTER (is_train = 0) AS test_rows, CAST(0 AS BIGINT) AS out_of_order
+FROM sp CROSS JOIN k""",
+)
+ORACLE["forest_bags"] = with_ctes(
+    *CHURN_ALL,
+    SPLIT,
+    TRAIN,
+    f"dr AS (SELECT tree, churn, ('0x' || substr(md5('{P.SEED}-' || tree || '-' || CAST(c AS VARCHAR)), 1, 8))::BIGINT AS u "
+    f"FROM tr, range({P.BAGS}) t(tree))",
+    f"w AS (SELECT tree, churn, {WEIGHT} AS w FROM dr)",
+    select="""
+SELECT CAST(tree AS INT) AS tree, CAST(sum(w) AS BIGINT) AS weight, count(*) FILTER (w = 0) AS left_out,
+  count(*) FILTER (w = 0 AND churn = 1) AS left_out_positives
+FROM w GROUP BY tree""",
+)
 ORACLE["logistic_totals"] = with_ctes(
     *CHURN_ALL,
     SPLIT,
@@ -661,7 +716,6 @@ FROM cm""",
 )
 ORACLE["f1_score"] = with_ctes(*BAYES_ALL, MATRIX, select="SELECT round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM ce")
 
-WEIGHT = " + ".join(f"(u >= {t})::INT" for t in poisson_thresholds())
 ORACLE["bootstrap_accuracy"] = with_ctes(
     *BAYES_ALL,
     "dr AS (SELECT rep, label = prediction AS ok, "

@@ -14,6 +14,7 @@ EARLY = dt.date(1996, 1, 1)
 
 SPLIT = 0.7
 SEED = 123456
+BAGS = 20  # trees with an out-of-bag estimate
 
 TYPE_SUPPORT, TYPE_CONFIDENCE = 0.001, 0.5
 BRAND_SUPPORT, BRAND_CONFIDENCE = 0.001, 0.05

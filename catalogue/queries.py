@@ -1,6 +1,6 @@
 """One callable (spark, folder) -> DataFrame per operator."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from retailspark import columns as C
 from retailspark.functions import cut, days_between, parse_day
@@ -16,6 +16,7 @@ from retailspark.operators import split as sp
 from retailspark.operators import windows as wd
 from retailspark.plans import churn as ch
 from retailspark.plans import rfm as rf
+from retailspark.plans import trees as tr
 from retailspark.session import materialise, scratch_path
 from retailspark.sources import (
     DATASET,
@@ -671,6 +672,48 @@ def tree_leaf_shares(spark, folder):
     )
 
 
+@query
+def split_gains(spark, folder):
+    _, train, _ = encoded_split(spark, folder)
+    return tr.split_gains(train).withColumn("below", F.round("below", 6))
+
+
+@query
+def tree_pruning(spark, folder):
+    encoder, train, test = encoded_split(spark, folder)
+    return tr.tree_pruning(ch.decision_tree(train, encoder), train, test)
+
+
+@query
+def tree_pruning_ends(spark, folder):
+    """The last subtree, which is the root alone, and subtrees that break the order of the sequence."""
+    table = tree_pruning(spark, folder)
+    last = F.struct("leaves", "train_errors", "test_errors", "train_rows", "test_rows")
+    before = Window.orderBy("subtree")  # a row per leaf of one tree
+    broken = (
+        (F.lag("leaves").over(before) <= F.col("leaves"))
+        | (F.lag("alpha").over(before) >= F.col("alpha"))
+        | (F.lag("train_errors").over(before) > F.col("train_errors"))
+    )
+    ends = table.withColumn("broken", F.coalesce(broken, F.lit(False)))
+    return ends.agg(F.max_by(last, "subtree").alias("last"), F.count_if("broken").alias("out_of_order")).select(
+        "last.*", "out_of_order"
+    )
+
+
+@query
+def forest_bags(spark, folder):
+    _, train, _ = encoded_split(spark, folder)
+    return tr.bag_sizes(tr.bagged_rows(train, P.BAGS, seed=P.SEED), P.BAGS)
+
+
+@query
+def forest_out_of_bag(spark, folder):
+    encoder, train, _ = encoded_split(spark, folder)
+    judged = tr.out_of_bag(train, encoder, P.BAGS, seed=P.SEED).where("judges > 0")
+    return ev.confusion(judged)
+
+
 @query
 def logistic_totals(spark, folder):
     encoder, train, _ = encoded_split(spark, folder)

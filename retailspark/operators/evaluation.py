@@ -81,6 +81,13 @@ def poisson_thresholds(most=12):
     return [int(sum(terms[: k + 1]) * 2**32) for k in range(most)]
 
 
+def poisson_weight(key, seed, i):
+    """Poisson(1) count of a row in sample ``i``, from the digest of seed, sample and key."""
+    digest = F.md5(F.concat(F.lit(f"{seed}-{i}-"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return reduce(lambda a, b: a + b, [(drawn >= t).cast("long") for t in poisson_thresholds()])
+
+
 def bootstrap_accuracy(pred, key, repeats=25, seed=0, label="label", prediction="prediction"):
     """Rows (repeat, n, accuracy): accuracy on ``repeats`` bootstrap samples of given predictions.
 
@@ -90,9 +97,7 @@ def bootstrap_accuracy(pred, key, repeats=25, seed=0, label="label", prediction=
     right = F.when(F.col(label) == F.col(prediction), 1).otherwise(0)
     sums = []
     for i in range(repeats):
-        digest = F.md5(F.concat(F.lit(f"{seed}-{i}-"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-        drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-        weight = reduce(lambda a, b: a + b, [(drawn >= t).cast("long") for t in poisson_thresholds()])
+        weight = poisson_weight(key, seed, i)
         sums.append(F.struct(F.lit(i).alias("repeat"), F.sum(weight).alias("n"), F.sum(weight * right).alias("hits")))
     return pred.agg(F.array(*sums).alias("s")).select(F.inline("s")).select(
         "repeat", "n", _ratio(F.col("hits"), F.col("n")).alias("accuracy")
