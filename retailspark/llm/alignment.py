@@ -8,6 +8,7 @@ Both tokenizers begin anew at a single blank between two visible characters, whi
 encodes each distinct word once, and a text's groups are those of its words one after another.
 """
 
+import functools
 import hashlib
 import re
 import uuid
@@ -23,7 +24,7 @@ from .chat import _token_bytes
 from .common import bounded_batches
 
 #: Bounds of a chunk, the texts that share one list of words: entries of the words' links, and words of the texts.
-CHUNK_LINKS, CHUNK_WORDS = 1 << 22, 1 << 23
+CHUNK_LINKS, CHUNK_WORDS = 1 << 21, 1 << 22
 #: Links looked at together, and bytes of words encoded together.
 SLICE, JOINED = 1 << 21, 1 << 16
 
@@ -189,6 +190,12 @@ class Aligner:
             yield from self._halved(words[len(words) // 2 :])
 
 
+@functools.lru_cache(maxsize=1)
+def _aligner(first, second):
+    """Kept by a Python worker from task to task, since reading the vocabularies takes long."""
+    return Aligner(first, second)
+
+
 class _Chunk:
     """Texts that share a list of words, up to the bounds above."""
 
@@ -283,7 +290,7 @@ def _parts(first, second):
     """Task step: texts to chunks of words and of documents."""
 
     def step(batches):
-        aligner = Aligner(first, second)
+        aligner = _aligner(first, second)
         chunk = _Chunk(aligner)
         for batch in batches:
             docs, size = [], 0
@@ -394,7 +401,7 @@ def groups(docs, first, second):
     bounded_batches(docs.sparkSession)
 
     def step(batches):
-        aligner = Aligner(first, second)
+        aligner = _aligner(first, second)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 spans = aligner.spans([" " + text]) if text else None
