@@ -33,6 +33,16 @@ def free_name(df, name):
     return name
 
 
+def set_aside(df, *names):
+    """``df`` with its columns of these ``names`` under free ones, and what gives a result's columns their names back."""
+    aside = {free_name(df, c + "_"): c for c in df.columns if c.lower() in names}
+    if not aside:
+        return df, lambda result: result
+    free = {c: name for name, c in aside.items()}
+    renamed = df.toDF(*[free.get(c, c) for c in df.columns])
+    return renamed, lambda result: result.toDF(*[aside.get(c, c) for c in result.columns])
+
+
 def text_key(column="text"):
     """Tells rows with one doc_id and different texts apart; the same row repeated has the same key."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, covered, mask_spans, utf8
+from .common import bounded_batches, covered, mask_spans, set_aside, utf8
 from .automaton import SuffixAutomaton
 
 #: Words of items in one automaton. More items make more automata, through which documents pass one after another.
@@ -182,8 +182,8 @@ def decontaminate(docs, benchmark, window=10, max_coverage=0.5):
     A removed span reaches from its first word to its last one, with what stands between them. Documents without hits
     keep their text as it is. All columns and their types stay. Null texts stay null.
     """
-    found = matched(docs, benchmark, window)
-    kept = [c for c in docs.columns if c.lower() not in ("_hits", "_words", "_items")]
+    docs, named = set_aside(docs, "_hits", "_words", "_items")
+    found, kept = matched(docs, benchmark, window), docs.columns
     at = kept.index("text")
 
     def cut(batches):
@@ -202,7 +202,7 @@ def decontaminate(docs, benchmark, window=10, max_coverage=0.5):
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, kept).filter(pa.array(keep))
 
-    return found.mapInArrow(cut, docs.select(*kept).schema)
+    return named(found.mapInArrow(cut, docs.schema))
 
 
 def _without(raw, mask):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .automaton import SuffixAutomaton
-from .common import Numbers, utf8, without_words
+from .common import Numbers, set_aside, utf8, without_words
 
 #: Words of a gram whose hash anchors a window, and occurrences of an anchor from which its windows are dealt singly.
 GRAM, HOT = 8, 4000
@@ -96,8 +96,8 @@ def remove_repeats(docs, window=20):
     What stands between kept words stays as it is, and a document without repeats keeps its text. Null and empty
     texts, and all other columns, stay.
     """
-    found = marked(docs, window)
-    kept = [c for c in docs.columns if c.lower() not in ("_key", "_spans")]
+    docs, named = set_aside(docs, "_key", "_spans")
+    found, kept = marked(docs, window), docs.columns
     at = kept.index("text")
 
     def cut(batches):
@@ -113,4 +113,4 @@ def remove_repeats(docs, window=20):
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, kept).filter(pa.array(keep))
 
-    return found.mapInArrow(cut, docs.select(*kept).schema)
+    return named(found.mapInArrow(cut, docs.schema))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import repeats
-from .common import mask_spans, utf8
+from .common import mask_spans, set_aside, utf8
 
 #: Bytes of a gram whose hash anchors a window, and occurrences of an anchor from which its windows are dealt singly.
 GRAM, HOT = 96, 20_000
@@ -172,8 +172,8 @@ def remove_repeats(docs, window=400):
 
     A document of which nothing is left goes; null and empty texts and all other columns stay.
     """
-    found = marked(docs, window)
-    kept = [c for c in docs.columns if c.lower() not in ("_key", "_spans")]
+    docs, named = set_aside(docs, "_key", "_spans")
+    found, kept = marked(docs, window), docs.columns
     at = kept.index("text")
 
     def cut(batches):
@@ -188,4 +188,4 @@ def remove_repeats(docs, window=400):
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, kept).filter(pa.array(keep))
 
-    return found.mapInArrow(cut, docs.select(*kept).schema)
+    return named(found.mapInArrow(cut, docs.schema))

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import bounded_batches, texts
+from .common import bounded_batches, free_name, texts
 from .tokens import Encoder, version_digest
 
 CACHE_DDL = "content binary, tokenizer string, n_tokens long"
@@ -70,13 +70,13 @@ def token_counts(docs, tokenizer, cache=None):
         .write.mode("append")
         .parquet(cache)
     )
-    kept = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "_content")]
+    kept, content = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens")], free_name(docs, "_content")
     return (
         docs.select(
             *kept,
             F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-            content_digest().alias("_content"),
+            content_digest().alias(content),
         )
-        .join(known().withColumnRenamed("content", "_content"), "_content", "left")
+        .join(known().withColumnRenamed("content", content), content, "left")
         .select(*kept, "n_bytes", "n_tokens")
     )
