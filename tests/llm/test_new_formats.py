@@ -1,10 +1,12 @@
 """Chat trees, vector codes and token alignment against plain versions."""
 
 import hashlib
+import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from retailspark.llm import alignment, chat, vector_codes
@@ -96,6 +98,55 @@ def test_chunks_do_not_change_counts(monkeypatch):
     assert counts([whole]) == counts(halves)
 
 
+def test_rows_do_not_grow_with_the_words_of_a_chunk():
+    """Many distinct words of few pairs: a row holds pairs of the chunk, or one document's."""
+    syllables = ["the", "and", "ing", "on", "er", "es"]
+    words = ["".join(w) for w in itertools.product(syllables, repeat=5)]
+    aligner = alignment.Aligner(BYTES, PIECES)
+    chunk = alignment._Chunk(aligner)
+    chunk.add([(i, aligner.words(" ".join(words[i::10]))) for i in range(10)])
+    rows = [row for batch in chunk.rows() for row in batch.to_pylist()]
+    held = {len(row["pairs"]) // 8: sum(len(v) for v in row.values() if isinstance(v, bytes)) for row in rows if row["kind"] == 0}
+    pairs = sum(held)
+    assert 10 < pairs < len(words) // 4 and sum(held.values()) <= 12 * pairs
+    assert all(len(v) < 12 * pairs for row in rows if row["kind"] == 1 for v in row.values() if isinstance(v, bytes))
+
+
+SIGNED = [
+    "don't, it's x_y a.\nB é.", "é, ½, ² x² ª, º. µ; ß! ÿ?", "a.b,c d.  e,\n f;\n\ng (h) 'tis, we're. I'd'x 12,5 a1,b", "a,\u0301b a.\ue000 c,😀, d.\x00e",
+    "x<|endoftext|>y</s>, z<0x0A>. <s>a", "a." * 50 + " , . b ,", "ＡＢ，Ｃ. ǆ, ɏ. ɐ, ſ.", "!", "a!", "a! ", " a,", "a\n,b", "你好, a,你",
+]
+
+
+def test_forgotten_words_and_small_rows_change_nothing(monkeypatch):
+    """Words cut at signs after letters, forgotten at once, encoded a few together, with few pairs in a chunk and a row."""
+    for name, value in (("KNOWN_LINKS", 1), ("CHUNK_PAIRS", 30), ("ROW_PAIRS", 7), ("JOINED", 20), ("SLICE", 5)):
+        monkeypatch.setattr(alignment, name, value)
+    texts = TEXTS + SIGNED
+    batches = [pa.record_batch({"doc_id": [i], "text": pa.array([t], pa.string())}) for i, t in enumerate(texts)]
+    rows = [row for batch in alignment._parts(BYTES, PIECES)(batches) for row in batch.to_pylist()]
+    names, total, best = defaultdict(dict), Counter(), Counter()
+    for row in rows:
+        if row["kind"] == 0:
+            pairs, held = np.frombuffer(row["pairs"], "<i8").tolist(), np.frombuffer(row["held"], "<i4").tolist()
+            assert len(pairs) <= 7
+            names[row["chunk"]].update(enumerate(pairs, row["first"]))
+            for pair, n in zip(pairs, held):
+                total[pair] += n
+    assert len(names) > 5
+    for pair, n in total.items():
+        best[pair >> 32] = max(best[pair >> 32], n)
+    got = []
+    for row in rows:
+        if row["kind"] == 1:
+            slots, times = alignment._unpacked(row["links"]) if row["links"] else ([], [])
+            links = {names[row["chunk"]][int(s)]: int(n) for s, n in zip(slots, times)}
+            n_best = sum(n for pair, n in links.items() if total[pair] == best[pair >> 32])
+            sums = tuple(row[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links"))
+            got.append((*sums, n_best, sum(n * total[pair] for pair, n in links.items()), row["groups_sha256"]))
+    assert sorted(got) == sorted(plain_alignment(texts))
+
+
 def test_chat_reads_back(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|", "", None, "a\nb", "😀 <|endoftext|>"]
     turns = [(1, k, r, t) for k, (r, t) in enumerate([("system", "be kind"), ("user", "hi"), ("assistant", "hello")])]
