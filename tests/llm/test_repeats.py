@@ -45,6 +45,25 @@ def test_many_near_copies_in_one_group(spark):
     assert got == substring_counts(docs)
 
 
+@pytest.mark.parametrize("units, window, keep_first", [(repeats.Bytes, 400, 2), (repeats.Words, 20, 1)])
+def test_known_spans_of_copies_do_not_share_a_route(spark, units, window, keep_first):
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string").coalesce(2)
+    rows = repeats.routed(docs, units, window, min(8, window), 10_000, keep_first, False).collect()
+    known = [r for r in rows if r.kind == repeats.SPAN]
+    assert len(known) > 250
+    assert len({r.route for r in known}) == len({r.doc_id for r in known}) == len(known)
+
+
+def test_copies_of_one_text(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    values = [(i, text if i % 3 else text[: 900 - i], *["a"] * 2, None, *["b"] * 3) for i in range(120)]
+    docs = [v[:2] for v in values]
+    assert sorted(map(tuple, suffix_dedup.counts(frame(spark, values)).collect())) == suffix_counts(docs)
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.counts(frame(spark, values)).collect()}
+    assert got == substring_counts(docs)
+
+
 def test_remove_repeats_keeps_the_rest(spark):
     long = " ".join(f"w{i}" for i in range(60))
     texts = ["start\n" + long + "  end", "other " + long + " tail", long, None, "", "short text"]
